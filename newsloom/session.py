@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +38,27 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK, "1000000"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a local one only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-"))
+    return context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, for tables that a run writes and reads."""
+    return f"{checkpoint_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it from there.
 
     Model answers go through here, so that a lost executor or a second use of the
     rows never calls the model again.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
