@@ -15,7 +15,7 @@ from newsloom.plans.ingest import ChartLayout, Ingested, ingest
 from newsloom.plans.insights import extract_insights
 from newsloom.plans.read import job_cards
 from newsloom.plans.summarise import summarise
-from newsloom.session import scratch_folder
+from newsloom.session import materialise, scratch_folder
 from newsloom.sources import html, messages, pages, prompts, tables
 from newsloom.streaming import stages
 
@@ -24,10 +24,6 @@ PAGE_LAYOUT = ChartLayout(link_class=None, title_attr=None, domain="/")
 MONTH = 24 * 30
 
 
-def as_is(df: DataFrame) -> DataFrame:
-    return df
-
-
 # Sources and sinks
 
 
@@ -253,20 +249,21 @@ def new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each linked url once; kept, since a lookup reads it more than once and parsing is dear."""
     parsed = html.chart_links(
         views.news_pages(spark, sf_dir).select("path", "html"), link_class=None, title_attr=None
     )
-    return html.link_rows(parsed.drop("org"))
+    return materialise(parsed.select(F.explode("links.href").alias("url")).distinct())
 
 
 def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = _all_links(spark, sf_dir).select(F.col("href").alias("url")).distinct()
+    urls = _linked_urls(spark, sf_dir)
     return lookups.new_links(urls, views.word_articles(spark, sf_dir))
 
 
 def attach_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = _all_links(spark, sf_dir).select(F.col("href").alias("url")).distinct()
+    urls = _linked_urls(spark, sf_dir)
     return lookups.attach_pages(urls, views.word_pages(spark, sf_dir))
 
 
@@ -431,7 +428,7 @@ def _summarised(spark: SparkSession, sf_dir: str):
     return summarise(
         views.page_requests(spark, sf_dir), views.page_articles(spark, sf_dir),
         views.news_pages(spark, sf_dir), "Summarise.", rules.summary_rule, views.RUN_AT,
-        root="article", keep=as_is,
+        root="article",
     )
 
 
@@ -456,7 +453,7 @@ def summarise_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _insights(spark: SparkSession, sf_dir: str):
     return extract_insights(
         views.requests(spark, sf_dir), views.articles(spark, sf_dir),
-        views.fragments(spark, sf_dir), "Extract.", rules.insight_rule, views.RUN_AT, keep=as_is,
+        views.fragments(spark, sf_dir), "Extract.", rules.insight_rule, views.RUN_AT,
     )
 
 
@@ -472,7 +469,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> Ingested:
     return ingest(
         views.crawls(spark, sf_dir), views.snapshots(spark, sf_dir),
         views.news_pages(spark, sf_dir), views.word_pages(spark, sf_dir),
-        views.word_articles(spark, sf_dir), views.AS_OF, MONTH, PAGE_LAYOUT, keep=as_is,
+        views.word_articles(spark, sf_dir), views.AS_OF, MONTH, PAGE_LAYOUT,
     )
 
 

@@ -16,8 +16,24 @@ AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 RUN_AT = datetime(2024, 2, 1, 0, 0, 0)
 
 
+# Stated, so that opening a table reads no file.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+              "props string",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _trunc(unit: str, time: str) -> Column:
@@ -286,10 +302,15 @@ select doc_id as seq, concat('/', split_part(text, ' ', 2)) as url from document
 """
 
 
+def _word(n: int) -> Column:
+    """The ``n``-th word of the text as a path, without splitting the rest of the text."""
+    return F.concat(F.lit("/"), F.regexp_extract("text", "^" + "[^ ]* " * (n - 1) + "([^ ]*)", 1))
+
+
 def word_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"),
-        F.concat(F.lit("/"), F.split_part("text", F.lit(" "), F.lit(2))).alias("url"),
+        _word(2).alias("url"),
     )
 
 
@@ -303,7 +324,7 @@ from documents d join events e on e.event_id = d.doc_id
 def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
     return table(spark, sf_dir, "documents").join(events, "doc_id").select(
-        F.concat(F.lit("/"), F.split_part("text", F.lit(" "), F.lit(3))).alias("url"),
+        _word(3).alias("url"),
         F.col("source").alias("ticker"), _key("news/", F.col("doc_id")).alias("path"),
         F.col("ts").alias("downloaded_at"), F.col("text").alias("html"),
     )

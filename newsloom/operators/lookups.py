@@ -59,25 +59,26 @@ def pending_urls(requested: DataFrame, articles: DataFrame) -> DataFrame:
     return found.filter("waiting").select("url")
 
 
-def _known_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+def known_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Distinct (url, ticker) among ``pairs`` that have a fragment."""
     return only(fragments.select(*PAIR), pairs, PAIR).distinct()
 
 
 def fragment_exists(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """``pairs`` with ``found``: whether a fragment of that url and ticker is stored."""
-    known = _known_pairs(pairs, fragments).withColumn("_known", F.lit(True))
+    known = known_pairs(pairs, fragments).withColumn("_known", F.lit(True))
     joined = spread_join(pairs, known, PAIR, "left")
     return joined.withColumn("found", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def stored_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """Only the pairs that have a fragment."""
-    return spread_join(pairs, _known_pairs(pairs, fragments), PAIR, "left_semi")
+    return spread_join(pairs, known_pairs(pairs, fragments), PAIR, "left_semi")
 
 
 def new_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """Only the pairs without a fragment; repeated pairs all stay."""
-    return spread_join(pairs, _known_pairs(pairs, fragments), PAIR, "left_anti")
+    return spread_join(pairs, known_pairs(pairs, fragments), PAIR, "left_anti")
 
 
 def new_links(links: DataFrame, articles: DataFrame) -> DataFrame:

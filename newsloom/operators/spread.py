@@ -2,21 +2,22 @@
 
 A shuffle join sends all rows of a key to one task, and adaptive skew handling only
 steps in where both sides come straight from a shuffle, which a side that was just
-aggregated on the same key does not. So heavy keys are found first (one narrow,
-map-side combined count) and cut into slices: each left row goes to one slice, each
-right row of a heavy key to all of them. Every pair still meets exactly once.
+aggregated on the same key does not. So heavy keys are looked for first, by one narrow
+count that combines on the map side. Mostly there is none and the join is an ordinary
+one. Otherwise heavy keys are cut into slices: each left row goes to one slice, each
+right row of a heavy key to all of them, and every pair still meets exactly once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.session import rows_per_task
 
 # A key outside the thousand heaviest holds less than a thousandth of all rows, so this
-# bounds what is broadcast without leaving any really heavy key out.
+# bounds what is fetched and broadcast without leaving any really heavy key out.
 MAX_HEAVY_KEYS = 1000
 NULL_SLICES = 1024
 
@@ -28,6 +29,13 @@ def heavy_keys(df: DataFrame, on: Sequence[str], max_rows: int) -> DataFrame:
     return top.select(*on, F.ceil(F.col("count") / max_rows).cast("int").alias("_slices"))
 
 
+def _is_keyless(on: Sequence[str]) -> Column:
+    missing = F.lit(False)
+    for key in on:
+        missing = missing | F.col(key).isNull()
+    return missing
+
+
 def spread_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
     spread_by: Sequence[str] | None = None,
@@ -38,21 +46,23 @@ def spread_join(
     rows of one key apart. A hash, unlike a random number, gives a retried task the
     same rows again.
     """
-    heavy = F.broadcast(heavy_keys(left, on, rows_per_task(left.sparkSession)))
+    spark, on = left.sparkSession, list(on)
+    heavy = heavy_keys(left, on, rows_per_task(spark))
+    found = heavy.collect()
+    if not found:
+        return left.join(right, on, how)
+    slices = F.broadcast(spark.createDataFrame(found, heavy.schema))
     hashed = F.xxhash64(*(spread_by or left.columns))
-    keyless = F.lit(False)
-    for key in on:
-        keyless = keyless | F.col(key).isNull()
+    # Rows without a key match nothing, so they may go anywhere.
     slice_no = (
-        F.when(keyless, F.pmod(hashed, F.lit(NULL_SLICES)))
-        .when(F.col("_slices").isNotNull(), F.pmod(hashed, F.col("_slices")))
-        .otherwise(0)
+        F.when(_is_keyless(on), F.pmod(hashed, F.lit(NULL_SLICES)))
+        .otherwise(F.pmod(hashed, F.coalesce("_slices", F.lit(1))))
         .cast("int")
     )
     last_slice = F.coalesce(F.col("_slices"), F.lit(1)) - 1
-    sliced_left = left.join(heavy, list(on), "left").withColumn("_slice", slice_no).drop("_slices")
+    sliced_left = left.join(slices, on, "left").withColumn("_slice", slice_no).drop("_slices")
     sliced_right = (
-        right.join(heavy, list(on), "left")
+        right.join(slices, on, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), last_slice)))
         .drop("_slices")
     )

@@ -13,7 +13,7 @@ from newsloom.functions.insight import insight_field, parse_insight, related
 from newsloom.functions.predicates import usable_content
 from newsloom.functions.status import insights_ready
 from newsloom.functions.text import insight_prompt, or_default
-from newsloom.operators.lookups import PAIR, latest_articles, new_pairs, request_rows
+from newsloom.operators.lookups import PAIR, known_pairs, latest_articles, request_rows
 from newsloom.operators.records import child_seq, new_fragments, new_status
 from newsloom.plans.annotate import Annotator, annotate
 from newsloom.session import materialise
@@ -25,20 +25,21 @@ class Insights:
     status: DataFrame
 
 
-def insight_questions(
-    requested: DataFrame, articles: DataFrame, fragments: DataFrame
-) -> DataFrame:
-    """(seq, url, ticker, org, title, user_prompt), one row per new pair with content.
+def pairs_to_ask(requested: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(seq, url, ticker, org) of the pairs without a fragment, each once.
 
-    Pairs that have a fragment are left out before anything is asked; a pair wanted by
-    several jobs is asked about once, for the first of them.
+    A pair wanted by several jobs is asked about for the first of them.
     """
     order = child_seq(F.col("seq"), F.col("pos"))
-    pairs = (
-        new_pairs(requested, fragments)
-        .groupBy(*PAIR)
-        .agg(F.min_by("org", order).alias("org"), F.min(order).alias("seq"))
+    wanted = requested.groupBy(*PAIR).agg(
+        F.min_by("org", order).alias("org"), F.min(order).alias("seq")
     )
+    # Both sides hold each pair once and are already shuffled by it.
+    return wanted.join(known_pairs(requested, fragments), PAIR, "left_anti")
+
+
+def insight_questions(pairs: DataFrame, articles: DataFrame) -> DataFrame:
+    """(seq, url, ticker, org, title, user_prompt), one row per pair with content."""
     found = latest_articles(pairs, articles, columns=["title", "content", "publish_date"])
     prompt = insight_prompt(*map(F.col, ("org", "ticker", "title", "publish_date", "content")))
     return found.filter(usable_content(F.col("content"))).select(
@@ -62,7 +63,8 @@ def extract_insights(
     keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> Insights:
     """One pass over stage requests (seq, job_id, urls, ticker, org); every job ends ready."""
-    questions = insight_questions(request_rows(requests), articles, fragments)
+    pairs = keep(pairs_to_ask(request_rows(requests), fragments))
+    questions = insight_questions(pairs, articles)
     answers = keep(annotate(questions, annotator, system_prompt, PAIR, tasks))
     found = parsed_insights(answers).withColumn("org", or_default(F.col("org")))
     status = requests.select(child_seq(F.col("seq"), F.lit(2)).alias("seq"), "job_id")

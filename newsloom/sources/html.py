@@ -169,16 +169,26 @@ def _has_class(values: dict[str, str], wanted: str) -> bool:
     return " ".join(classes) == wanted or wanted in classes
 
 
+LINKS = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("href", T.StringType()),
+    T.StructField("title", T.StringType()),
+]))
+ARROW_TYPES = {
+    T.StringType(): pa.string(),
+    LINKS: pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("title", pa.string())])),
+}
+
+
 def _replace_column(
-    df: DataFrame, column: str, fields: T.StructType, parse: Callable[[str | None], tuple]
+    df: DataFrame, column: str, fields: dict[str, T.DataType],
+    parse: Callable[[str | None], tuple],
 ) -> DataFrame:
     """``df`` with ``column`` replaced by the fields that ``parse`` makes of its text."""
     kept = [name for name in df.columns if name != column]
-    schema = T.StructType([*df.select(*kept).schema.fields, *fields.fields])
-    types = [
-        pa.list_(pa.string()) if isinstance(field.dataType, T.ArrayType) else pa.string()
-        for field in fields
-    ]
+    added = T.StructType([T.StructField(name, dtype) for name, dtype in fields.items()])
+    schema = T.StructType([*df.select(*kept).schema.fields, *added.fields])
+    types = [ARROW_TYPES[dtype] for dtype in fields.values()]
+    names = [*kept, *fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +197,7 @@ def _replace_column(
                 pa.array([row[i] for row in rows], type=dtype) for i, dtype in enumerate(types)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(name) for name in kept] + parsed,
-                names=kept + fields.names,
+                [batch.column(name) for name in kept] + parsed, names=names
             )
 
     return df.mapInArrow(run, schema)
@@ -200,9 +209,9 @@ def article_text(pages: DataFrame, root: str = "main", html: str = "html") -> Da
     NULL without such an element. An element without text gives one blank.
     """
     candidate = F.when(F.col(html).rlike(f"(?i)<{root}"), F.col(html))
-    fields = T.StructType([T.StructField("text", T.StringType())])
     raw = _replace_column(
-        pages.withColumn(html, candidate), html, fields, lambda page: (root_text(page, root),)
+        pages.withColumn(html, candidate), html, {"text": T.StringType()},
+        lambda page: (root_text(page, root),),
     )
     return raw.withColumn("text", reflow(cut_story(F.col("text"))))
 
@@ -221,21 +230,13 @@ def chart_links(
         if page is not None:
             found.feed(page)
             found.close()
-        return found.org, [href for href, _ in found.links], [title for _, title in found.links]
-
-    fields = T.StructType([
-        T.StructField("org", T.StringType()),
-        T.StructField("_hrefs", T.ArrayType(T.StringType())),
-        T.StructField("_titles", T.ArrayType(T.StringType())),
-    ])
-    parsed = _replace_column(pages, html, fields, parse)
-    links = F.transform(
-        F.arrays_zip("_hrefs", "_titles"),
-        lambda link, pos: F.struct(
-            pos.alias("pos"), link["_hrefs"].alias("href"), link["_titles"].alias("title")
-        ),
-    )
-    return parsed.withColumn("links", links).drop("_hrefs", "_titles")
+        links = [
+            {"pos": pos, "href": href, "title": title}
+            for pos, (href, title) in enumerate(found.links)
+        ]
+        return found.org, links
+
+    return _replace_column(pages, html, {"org": T.StringType(), "links": LINKS}, parse)
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
