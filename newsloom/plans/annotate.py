@@ -6,6 +6,7 @@ DataFrame with ``system_prompt`` and ``user_prompt`` to one answer (or None) per
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -22,6 +23,7 @@ def one_by_one(ask: Callable[[str, str], str], calls_at_once: int = 1) -> Annota
         try:
             return ask(system_prompt, user_prompt)
         except Exception:
+            logging.getLogger(__name__).exception("no answer to a question")
             return None
 
     def annotator(batch: pd.DataFrame) -> list[str | None]:
@@ -54,6 +56,7 @@ def annotate(
             try:
                 answers = list(annotator(asked.assign(system_prompt=system_prompt)))
             except Exception:
+                logging.getLogger(__name__).exception("no answers to %d questions", batch.num_rows)
                 answers = [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(name) for name in kept] + [pa.array(answers, type=pa.string())],

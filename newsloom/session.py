@@ -55,10 +55,12 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it from there.
+    """Write ``df`` as a table next to the cluster's checkpoints and read that instead.
 
-    Model answers go through here, so that a lost executor or a second use of the
-    rows never calls the model again.
+    Model answers and parsed pages go through here, so that a lost executor or a second
+    use of the rows never repeats the work. As a table, later reads take only the columns
+    they need and joins know its size.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
