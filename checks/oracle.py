@@ -40,7 +40,9 @@ JOB = "concat(cast(user_id as varchar), '-', cast(cast(ts as date) as varchar))"
 
 
 def _unescaped(text: str) -> str:
-    return f"replace(replace({text}, '&quot;', '\"'), '&amp;', '&')"
+    """The two entities of the test pages; at the end of a text node their ``;`` may be missing."""
+    quotes = f"regexp_replace({text}, '&quot(;|$)', '\"', 'g')"
+    return f"regexp_replace({quotes}, '&amp(;|$)', '&', 'g')"
 
 
 def _reflowed(text: str) -> str:
@@ -309,6 +311,8 @@ ORACLE = {
                count(*) filter (where concat(url, ' ', ticker) in (select concat(url, ' ', ticker) from fragments)) as saved
         from requests group by job_id"""),
     "snapshot_sizes": _with("snapshots", "select seq, ticker, cast(len(url_keys) as integer) as n_links from snapshots"),
+    "shown_counters": _with("fragments", """
+        select ticker, least(count(*), 10) as shown from fragments group by ticker"""),
     "reason_profile": _with("fragments", """
         select related_reason_simple, polarity, actual_trend, count(*) as n, count(distinct ticker) as n_tickers
         from fragments group by 1, 2, 3"""),
@@ -382,3 +386,7 @@ ORACLE = {
         where j.status = 'news crops ready'"""),
     "stream_job_status": _with("status", f"+{JOB_STATUS} select job_id, status from job_states"),
 }
+ORACLE["stream_unique_jobs"] = ORACLE["job_ids"]
+ORACLE["stream_ingest"] = ORACLE["ingest_articles"]
+ORACLE["stream_summaries"] = ORACLE["summarise_updates"]
+ORACLE["stream_insights"] = ORACLE["insights_fragments"]

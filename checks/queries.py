@@ -335,6 +335,10 @@ def snapshot_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.snapshot_sizes(views.snapshots(spark, sf_dir))
 
 
+def shown_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.shown_counters(views.fragments(spark, sf_dir))
+
+
 def reason_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.reason_profile(views.fragments(spark, sf_dir))
 
@@ -505,7 +509,7 @@ def read_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_cards(asked, events, views.fragments(spark, sf_dir))
 
 
-# Streams, run to the end of the table
+# Streams, run to the end of the tables
 
 
 def stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,6 +519,80 @@ def stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.live_status(spark, root)
 
 
+def stream_unique_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of one user and day, each let through once."""
+    root = scratch_folder(spark)
+    arrivals = views.table(spark, sf_dir, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string"))
+        .alias("job_id"),
+        F.col("ts").cast("timestamp").alias("arrived"),
+    )
+    arrivals.write.parquet(f"{root}/arrivals")
+    stream = spark.readStream.schema(arrivals.schema).parquet(f"{root}/arrivals")
+    written = stages.once_per_job(stream).select("job_id").writeStream.format("parquet")
+    written.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(
+        f"{root}/jobs"
+    ).awaitTermination()
+    return spark.read.schema("job_id string").parquet(f"{root}/jobs")
+
+
+def _added(spark: SparkSession, root: str, table: str, stage: str) -> DataFrame:
+    rows = spark.read.schema(tables.stored_schema(table)).parquet(f"{root}/{table}")
+    return rows.filter(F.col("stage") == stage).drop("stage", "batch")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 1 as a stream over request messages; the articles it adds."""
+    root = scratch_folder(spark)
+    tables.create_tables(spark, root)
+    stored = records.new_articles(
+        views.word_articles(spark, sf_dir).withColumn("title", F.col("url")), views.AS_OF
+    )
+    tables.write_batch(stored, root, "articles", "start", 1)
+    tables.write_batch(views.snapshots(spark, sf_dir), root, "snapshots", "start", 1)
+    messages.encode_crawl(views.crawls(spark, sf_dir)).write.text(f"{root}/messages")
+    stages.start_ingest(
+        spark, f"{root}/messages", root, f"{root}/checkpoint",
+        lambda session: views.news_pages(session, sf_dir),
+        lambda session: views.word_pages(session, sf_dir),
+        PAGE_LAYOUT, MONTH, clock=lambda: views.AS_OF,
+    ).awaitTermination()
+    return _added(spark, root, "articles", "crawl")
+
+
+def stream_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 2 as a stream over stage requests; the updates it logs."""
+    root = scratch_folder(spark)
+    tables.create_tables(spark, root)
+    tables.write_batch(views.page_articles(spark, sf_dir), root, "articles", "start", 1)
+    tables.write_batch(views.page_requests(spark, sf_dir), root, "summary_requests", "start", 1)
+    stages.start_summaries(
+        spark, root, f"{root}/checkpoint", lambda session: views.news_pages(session, sf_dir),
+        "Summarise.", rules.summary_rule, "article", clock=lambda: views.RUN_AT,
+    ).awaitTermination()
+    return _added(spark, root, "article_updates", "summary").select(
+        "url", F.md5("content").alias("content_md5"), "summary", "publish_date"
+    )
+
+
+def stream_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 3 as a stream over stage requests; the fragments it adds."""
+    root = scratch_folder(spark)
+    tables.create_tables(spark, root)
+    tables.write_batch(views.articles(spark, sf_dir), root, "articles", "start", 1)
+    tables.write_batch(views.fragments(spark, sf_dir), root, "fragments", "start", 1)
+    # One request per document: job ids that are shared there are told apart here.
+    asked = views.requests(spark, sf_dir).withColumn(
+        "job_id", F.concat_ws("/", "job_id", F.col("seq").cast("string"))
+    )
+    tables.write_batch(asked, root, "crop_requests", "start", 1)
+    stages.start_insights(
+        spark, root, f"{root}/checkpoint", "Extract.", rules.insight_rule,
+        clock=lambda: views.RUN_AT,
+    ).awaitTermination()
+    return _added(spark, root, "fragments", "crop")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -525,9 +603,10 @@ QUERIES = {
         first_article, latest_article, fragment_exists, stored_pairs, new_pairs, new_links,
         attach_pages, latest_snapshot, latest_article_rows, first_article_rows, job_status,
         all_job_status, job_history, job_ids, urls, queue_depth, stuck_jobs, pair_counters,
-        saved_counters, snapshot_sizes, reason_profile, time_texts, reflow, summary_fields,
+        saved_counters, shown_counters, snapshot_sizes, reason_profile, time_texts, reflow, summary_fields,
         insight_fields, links, links_capped, article_text, summarise_updates, summarise_articles,
         summarise_status, insights_fragments, insights_status, ingest_articles, ingest_snapshots,
-        ingest_requests, ingest_status, read_cards, stream_job_status,
+        ingest_requests, ingest_status, read_cards, stream_job_status, stream_unique_jobs,
+        stream_ingest, stream_summaries, stream_insights,
     )
 }

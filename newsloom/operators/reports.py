@@ -55,6 +55,11 @@ def saved_counters(pairs: DataFrame, saved: DataFrame) -> DataFrame:
     )
 
 
+def shown_counters(fragments: DataFrame, n: int = FRAGMENTS_SHOWN) -> DataFrame:
+    """Per ticker how many insights a reader is shown."""
+    return fragments.groupBy("ticker").agg(F.least(F.count("*"), F.lit(n)).alias("shown"))
+
+
 def reason_profile(fragments: DataFrame) -> DataFrame:
     """How often each kind of insight occurs, with which effect, and for how many tickers."""
     return fragments.groupBy("related_reason_simple", "polarity", "actual_trend").agg(

@@ -16,6 +16,7 @@ from newsloom.operators.records import child_seq, new_status
 from newsloom.plans.annotate import Annotator, annotate
 from newsloom.session import materialise
 from newsloom.sources.html import article_text
+from newsloom.sources.pages import with_path_fields
 
 
 @dataclass(frozen=True)
@@ -44,11 +45,20 @@ def waiting_files(requested: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def summary_questions(
-    requested: DataFrame, articles: DataFrame, pages: DataFrame, root: str = "main"
+    requested: DataFrame, articles: DataFrame, pages: DataFrame, root: str = "main",
+    pages_by_ticker: bool = False,
 ) -> DataFrame:
-    """(url, content, user_prompt), one row per url with readable text."""
+    """(url, content, user_prompt), one row per url with readable text.
+
+    Say ``pages_by_ticker`` for pages stored by ticker under their usual path names: the
+    ticker read off each wanted path then prunes the other tickers' folders at run time.
+    """
     waiting = waiting_files(requested, articles).withColumnRenamed("file_path", "path")
-    texts = article_text(pages.select("path", "html").join(waiting, "path"), root)
+    keys = ["path"]
+    if pages_by_ticker:
+        keys = ["ticker", "path"]
+        waiting = with_path_fields(waiting).select("url", *keys)
+    texts = article_text(pages.select(*keys, "html").join(waiting, keys), root)
     return (
         texts.filter(F.col("text").isNotNull())
         .groupBy("url")
@@ -60,14 +70,17 @@ def summary_questions(
 def summarise(
     requests: DataFrame, articles: DataFrame, pages: DataFrame, system_prompt: str,
     annotator: Annotator, as_of: datetime | Column, root: str = "main",
-    tasks: int | None = None, keep: Callable[[DataFrame], DataFrame] = materialise,
+    tasks: int | None = None, pages_by_ticker: bool = False,
+    keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> Summarised:
     """One pass over stage requests (seq, job_id, urls, ticker, org).
 
     Urls wanted by several jobs are asked about once. A url whose question fails stays
     pending. Apply ``updates`` with ``update_fields``.
     """
-    questions = summary_questions(request_rows(requests), articles, pages, root)
+    questions = summary_questions(
+        request_rows(requests), articles, pages, root, pages_by_ticker
+    )
     answers = keep(annotate(questions, annotator, system_prompt, ["url"], tasks))
     updates = answers.filter(F.col("answer").isNotNull()).select(
         "url", "content", summary_of(F.col("answer")).alias("summary"),

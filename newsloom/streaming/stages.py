@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsloom.constants import SNAPSHOT_TTL_HOURS
 from newsloom.functions.status import job_failed
 from newsloom.operators.jobs import latest_status
 from newsloom.operators.lookups import request_rows
@@ -21,6 +22,7 @@ from newsloom.plans.annotate import Annotator
 from newsloom.plans.ingest import ChartLayout, ingest
 from newsloom.plans.insights import extract_insights
 from newsloom.plans.summarise import summarise
+from newsloom.session import materialise
 from newsloom.sources.messages import decode_crawl
 from newsloom.sources.tables import (
     current_articles, current_status, read_table, stored_schema, stream_table, write_batch,
@@ -43,11 +45,18 @@ def once_per_job(
 
 
 def crawl_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of (seq, job_id, ticker, arrived) from JSON-lines files."""
+    """Stream of (seq, job_id, ticker, arrived) from JSON-lines files.
+
+    Messages without a ``seq`` are ordered by the second they arrived in.
+    """
     lines = spark.readStream.text(folder).select(
         "value", F.col("_metadata.file_modification_time").alias("arrived")
     )
-    return once_per_job(decode_crawl(lines))
+    within_second = F.pmod(F.xxhash64("job_id"), F.lit(1000))
+    by_arrival = F.unix_seconds("arrived") * 1000 + within_second
+    return once_per_job(
+        decode_crawl(lines).withColumn("seq", F.coalesce("seq", by_arrival))
+    )
 
 
 def stage_requests(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -62,10 +71,16 @@ def _start(
     stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, name: str,
     trigger: dict,
 ) -> StreamingQuery:
+    def run_kept(batch: DataFrame, batch_id: int) -> None:
+        # The duplicate state is read and written once, however often the rows are used.
+        requests = materialise(batch.drop("arrived"))
+        if not requests.isEmpty():
+            run(requests, batch_id)
+
     return (
         stream.writeStream.queryName(name)
         .option("checkpointLocation", f"{checkpoint}/{name}")
-        .foreachBatch(run)
+        .foreachBatch(run_kept)
         .trigger(**trigger)
         .start()
     )
@@ -74,18 +89,18 @@ def _start(
 def start_ingest(
     spark: SparkSession, messages: str, root: str, checkpoint: str,
     chart_pages: Pages, news_pages: Pages, layout: ChartLayout = ChartLayout(),
-    clock: Clock = utc_now, trigger: dict | None = None,
+    ttl_hours: int = SNAPSHOT_TTL_HOURS, clock: Clock = utc_now, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Stage 1: crawl requests to articles, snapshots and summary requests."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
+    def run(requests: DataFrame, batch_id: int) -> None:
+        session = requests.sparkSession
 
         def table(name: str) -> DataFrame:
             return read_table(session, root, name, "crawl", batch_id)
 
         done = ingest(
-            batch.drop("arrived"), table("snapshots"), chart_pages(session),
-            news_pages(session), table("articles"), clock(), layout=layout,
+            requests, table("snapshots"), chart_pages(session),
+            news_pages(session), table("articles"), clock(), ttl_hours, layout,
         )
         write_batch(done.articles, root, "articles", "crawl", batch_id)
         write_batch(done.snapshots, root, "snapshots", "crawl", batch_id)
@@ -101,19 +116,20 @@ def start_ingest(
 def start_summaries(
     spark: SparkSession, root: str, checkpoint: str, pages: Pages, system_prompt: str,
     annotator: Annotator, page_root: str = "main", tasks: int | None = None,
-    clock: Clock = utc_now, trigger: dict | None = None,
+    pages_by_ticker: bool = False, clock: Clock = utc_now,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Stage 2: summary requests to article updates and insight requests."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        requests = batch.drop("arrived")
+    def run(requests: DataFrame, batch_id: int) -> None:
+        session = requests.sparkSession
         articles = current_articles(
             read_table(session, root, "articles"),
             read_table(session, root, "article_updates", "summary", batch_id),
             request_rows(requests),
         )
         done = summarise(
-            requests, articles, pages(session), system_prompt, annotator, clock(), page_root, tasks
+            requests, articles, pages(session), system_prompt, annotator, clock(), page_root,
+            tasks, pages_by_ticker,
         )
         logged = done.updates.withColumn("seq", F.lit(batch_id).cast("bigint"))
         write_batch(logged, root, "article_updates", "summary", batch_id)
@@ -131,9 +147,8 @@ def start_insights(
     tasks: int | None = None, clock: Clock = utc_now, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Stage 3: insight requests to fragments. A batch that fails marks its jobs as failed."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        requests = batch.drop("arrived")
+    def run(requests: DataFrame, batch_id: int) -> None:
+        session = requests.sparkSession
         try:
             articles = current_articles(
                 read_table(session, root, "articles"),
