@@ -13,9 +13,14 @@ from newsloom.functions.text import moment
 def expired(
     time_created: Column, as_of: datetime | Column, ttl_hours: int = SNAPSHOT_TTL_HOURS
 ) -> Column:
-    """Older than the time to live (exactly at the limit is still fresh), or absent."""
+    """Older than the time to live (exactly at the limit is still fresh), or absent.
+
+    Absent counts as long ago, which keeps this one comparison: Spark takes a comparison
+    as a reason to prune other tables' partitions by the tickers that pass it.
+    """
     limit = moment(as_of) - F.expr(f"INTERVAL {int(ttl_hours)} HOURS")
-    return F.coalesce(time_created < limit, F.lit(True))
+    long_ago = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    return F.coalesce(time_created, long_ago) < limit
 
 
 def needs_summary(content: Column) -> Column:

@@ -11,10 +11,11 @@ from newsloom import schemas
 from newsloom.operators.lookups import request_rows
 from newsloom.operators.records import update_fields
 from newsloom.plans.annotate import annotate, one_by_one
-from newsloom.plans.ingest import ingest
+from newsloom.plans.ingest import ingest, ticker_news
 from newsloom.plans.insights import extract_insights, insight_questions, pairs_to_ask
 from newsloom.plans.read import job_cards
-from newsloom.plans.summarise import summarise
+from newsloom.plans.summarise import summarise, summary_questions
+from newsloom.sources.pages import page_path, read_pages, write_pages
 from newsloom.sources.prompts import load_prompt
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -204,3 +205,30 @@ def test_prompts(spark):
     assert load_prompt(prompts, "a") == "new"
     with pytest.raises(FileNotFoundError):
         load_prompt(prompts, "missing")
+
+
+def test_wanted_tickers_prune_landed_pages(spark, tmp_path):
+    """Neither stage reads the folders of tickers that nobody asks for."""
+    stamp = datetime(2024, 1, 2)
+    rows = spark.range(40).select(
+        F.concat(F.lit("T"), F.col("id").cast("string")).alias("ticker"),
+        F.lit(stamp.isoformat(" ")).cast("timestamp_ntz").alias("downloaded_at"),
+        F.lit("<main>Long enough a text</main>").alias("html"), F.lit("u").alias("url"),
+    )
+    name = page_path(F.lit("/raw"), F.col("ticker"), F.lit("news"), F.col("downloaded_at"))
+    landed_pages = rows.withColumn("path", name).select(*schemas.NEWS_PAGES.names)
+    write_pages(landed_pages, str(tmp_path / "pages"))
+    pages = read_pages(spark, str(tmp_path / "pages"), schemas.NEWS_PAGES)
+    path = landed_pages.filter("ticker = 'T7'").head().path
+    articles = spark.createDataFrame(
+        [(1, "u", "t", path, NOW, "pending", "pending", "")], schemas.ARTICLES)
+    asked = spark.createDataFrame([("u",)], "url string")
+
+    questions = summary_questions(asked, articles, pages, pages_by_ticker=True)
+    assert [r.content for r in questions.collect()] == ["\nLong enough a text"]
+    assert "dynamicpruning" in questions._jdf.queryExecution().executedPlan().toString()
+
+    requests = crawl(spark, (1, "j", "T3"))
+    news = ticker_news(requests, empty(spark, schemas.CHART_SNAPSHOTS), pages, NOW)
+    assert [r.ticker for r in news.collect()] == ["T3"]
+    assert "dynamicpruning" in news._jdf.queryExecution().executedPlan().toString()
