@@ -71,7 +71,7 @@ def append_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = records.collapse_updates(views.updates(spark, sf_dir))
+    last = materialise(records.collapse_updates(views.updates(spark, sf_dir)))
     updated = records.update_fields(views.articles(spark, sf_dir), last)
     return updated.select(
         "seq", "url", F.md5("content").alias("content_md5"), "summary", "publish_date"

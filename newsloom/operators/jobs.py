@@ -67,7 +67,8 @@ def stuck_jobs(
     submitted = submissions.groupBy("job_id").agg(F.min("submitted_at").alias("submitted_at"))
     limit = moment(as_of) - F.expr(f"INTERVAL {int(after_seconds)} SECONDS")
     late = submitted.filter(F.col("submitted_at") < limit)
-    known = late.join(latest_status(only(events, late, ["job_id"])), "job_id", "left").withColumn(
+    current = latest_status(only(events, submissions, ["job_id"]))
+    known = late.join(current, "job_id", "left").withColumn(
         "status", F.coalesce("status", F.lit(NO_EVENTS))
     )
     return known.filter(status_class(F.col("status")) == "running")

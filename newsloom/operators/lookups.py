@@ -28,8 +28,8 @@ def only(table: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``table`` whose key is asked for, taken before anything is aggregated.
 
     A short list of keys, the usual case, is broadcast and the table is not shuffled. A
-    long one is shuffled as it is: without an aggregation below the join, adaptive
-    execution can split a table partition that one key has filled.
+    long one is shuffled as it is: pass ``wanted`` as plain or stored rows, not aggregated
+    on the key, and adaptive execution can split a table partition that one key has filled.
     """
     return table.join(wanted.select(*keys), list(keys), "left_semi")
 
@@ -81,10 +81,14 @@ def new_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     return spread_join(pairs, known_pairs(pairs, fragments), PAIR, "left_anti")
 
 
+def known_urls(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """Distinct urls among ``links`` that an article has."""
+    return only(articles.select("url"), links, ["url"]).distinct()
+
+
 def new_links(links: DataFrame, articles: DataFrame) -> DataFrame:
     """``links`` (one row per url) whose url no article has."""
-    known = only(articles.select("url"), links, ["url"]).distinct()
-    return links.join(known, "url", "left_anti")
+    return links.join(known_urls(links, articles), "url", "left_anti")
 
 
 def attach_pages(links: DataFrame, news_pages: DataFrame) -> DataFrame:

@@ -88,9 +88,9 @@ def update_fields(
 ) -> DataFrame:
     """``table`` with the fields set in ``updates`` on every row of the key.
 
-    ``updates`` has one row per key (see ``collapse_updates``); NULL leaves a field alone.
-    Few updates are broadcast; many are shuffled, and adaptive execution splits the
-    table's heavy keys.
+    ``updates`` has one row per key; NULL leaves a field alone. Few updates are broadcast;
+    many are shuffled, and adaptive execution splits the table's heavy keys, for which
+    the rows of ``collapse_updates`` should be materialised first.
     """
     unknown = set(fields) - set(table.columns)
     if unknown:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.constants import LINK_CLASS, LINKS_PER_PAGE, NEWS_DOMAIN, ORG_CLASS, SNAPSHOT_TTL_HOURS
 from newsloom.functions.links import capped_links, news_links
+from newsloom.functions.predicates import expired
 from newsloom.functions.status import news_ready
-from newsloom.operators.lookups import attach_pages, new_links, only, snapshot_lookup
+from newsloom.operators.lookups import attach_pages, known_urls, only, snapshot_lookup
 from newsloom.operators.records import child_seq, new_articles, new_snapshots, new_status
 from newsloom.operators.spread import spread_join
 from newsloom.session import materialise
@@ -43,6 +44,7 @@ def ticker_news(
     requests: DataFrame, snapshots: DataFrame, chart_pages: DataFrame,
     as_of: datetime | Column, ttl_hours: int = SNAPSHOT_TTL_HOURS,
     layout: ChartLayout = ChartLayout(),
+    keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> DataFrame:
     """Each asked ticker once: (ticker, seq, renewed, org, links).
 
@@ -50,14 +52,16 @@ def ticker_news(
     read. Tickers with neither drop out. ``seq`` is the first request's.
     """
     asked = requests.groupBy("ticker").agg(F.min("seq").alias("seq"))
-    known = snapshot_lookup(asked, snapshots, as_of, ttl_hours).join(asked, "ticker")
+    known = snapshot_lookup(requests, snapshots, as_of, ttl_hours).drop("expired")
+    known = keep(known.join(asked, "ticker"))
+    is_stale = expired(F.col("time_created"), as_of, ttl_hours)
     stored = F.transform("url_keys", lambda url, pos: F.struct(
         pos.alias("pos"), url.alias("href"), F.lit("").alias("title")
     ))
-    fresh = known.filter(~F.col("expired")).select(
+    fresh = known.filter(~is_stale).select(
         "ticker", "seq", F.lit(False).alias("renewed"), "org", stored.alias("links")
     )
-    stale = known.filter("expired").select("ticker", "seq")
+    stale = known.filter(is_stale).select("ticker", "seq")
     newest = only(chart_pages, stale, ["ticker"]).groupBy("ticker").agg(
         F.max_by("html", F.struct("downloaded_at", "path")).alias("html")
     )
@@ -83,15 +87,15 @@ def ingest(
     Tickers are worked on once however many jobs ask for them, and the result goes back
     to every job. Several outputs come from the parsed pages, hence ``keep``.
     """
-    news = keep(ticker_news(requests, snapshots, chart_pages, as_of, ttl_hours, layout))
+    news = keep(ticker_news(requests, snapshots, chart_pages, as_of, ttl_hours, layout, keep))
     renewed = news.filter("renewed")
-    found = (
+    found = keep(
         renewed.select("seq", F.posexplode("links").alias("n", "link"))
         .select(child_seq(F.col("seq"), F.col("n")).alias("seq"), "link.href", "link.title")
         .groupBy(F.col("href").alias("url"))
         .agg(F.min_by("title", "seq").alias("title"), F.min("seq").alias("seq"))
     )
-    unknown = attach_pages(new_links(found, articles), news_pages)
+    unknown = attach_pages(found, news_pages).join(known_urls(found, articles), "url", "left_anti")
     urls = F.col("links")["href"]
     answered = spread_join(
         requests.select("seq", "job_id", "ticker"),

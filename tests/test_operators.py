@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.operators import current, jobs, lookups, records, reports
 from newsloom.operators.spread import heavy_keys, spread_join
-from newsloom.session import ROWS_PER_TASK
+from newsloom.session import ROWS_PER_TASK, materialise
 
 T0 = datetime(2024, 1, 1)
 
@@ -130,8 +130,9 @@ def test_adaptive_execution_splits_a_heavy_key_of_a_table(spark, tmp_path):
     wanted = articles.select("url").filter("url = 'hot' or url like '1%'").distinct()
     wanted.write.parquet(str(tmp_path / "wanted"))
     wanted = spark.read.parquet(str(tmp_path / "wanted"))
-    updates = wanted.select("url", F.lit("new").alias("content"), F.lit("s").alias("summary"),
-                            F.lit(None).cast("string").alias("publish_date"))
+    log = wanted.select(F.lit(1).alias("seq"), "url", F.lit("new").alias("content"),
+                        F.lit("s").alias("summary"), F.lit(None).cast("string").alias("publish_date"))
+    updates = materialise(records.collapse_updates(log))
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
