@@ -1,5 +1,7 @@
 """Article text and chart links on hand-written pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,21 @@ def test_anchor_text_as_title(spark):
         spark, "<a href='/x'>one <b>two</b> &amp; three</a> after", link_class=None, title_attr=None
     )
     assert [(r.href, r.title) for r in link_rows(parsed).collect()] == [("/x", "one two & three")]
+
+
+def test_capped_links_equal_brute_force(spark):
+    rng = random.Random(5)
+    pages = [
+        [(pos, DOMAIN + rng.choice("abcd"), f"t{pos}") for pos in range(rng.randrange(9))]
+        for _ in range(300)
+    ]
+    expected = []
+    for links in pages:
+        merged = {}
+        for pos, href, title in links[:5]:
+            merged[href] = (merged.get(href, (pos,))[0], href, title)
+        expected.append(list(merged.values()))
+    rows = spark.createDataFrame(
+        list(enumerate(pages)), "i int, links array<struct<pos:int,href:string,title:string>>")
+    found = rows.select("i", capped_links(F.col("links")).alias("links")).orderBy("i").collect()
+    assert [[tuple(link) for link in r.links] for r in found] == expected

@@ -16,7 +16,7 @@ from newsloom.plans.insights import extract_insights, insight_questions, pairs_t
 from newsloom.plans.read import job_cards
 from newsloom.plans.summarise import summarise, summary_questions
 from newsloom.sources.pages import page_path, read_pages, write_pages
-from newsloom.sources.prompts import load_prompt
+from newsloom.sources.prompts import load_prompt, read_prompt_files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -207,6 +207,12 @@ def test_prompts(spark):
         load_prompt(prompts, "missing")
 
 
+def test_prompt_files(spark, tmp_path):
+    (tmp_path / "summary.txt").write_text("\n Sum up:\n- é \n")
+    (tmp_path / "crop.txt").write_text("other")
+    assert load_prompt(read_prompt_files(spark, str(tmp_path)), "summary") == "Sum up:\n- é"
+
+
 def test_wanted_tickers_prune_landed_pages(spark, tmp_path):
     """Neither stage reads the folders of tickers that nobody asks for."""
     stamp = datetime(2024, 1, 2)
