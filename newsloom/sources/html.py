@@ -63,14 +63,15 @@ class _RootText(HTMLParser):
         self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
         if tag in VOID_TAGS:
-            self.void_closed.remove(tag)
+            self.end_node()
         else:
-            self.handle_endtag(tag)
+            self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in self.void_closed:
+            # Its start tag has ended the text node.
             self.void_closed.remove(tag)
             return
         self.end_node()
@@ -124,6 +125,9 @@ def root_text(html: str | None, root: str) -> str | None:
         parser.end_node()
     except _RootClosed:
         pass
+    except AssertionError:
+        # The standard parser's way to refuse a malformed declaration: no readable page.
+        return None
     return None if parser.root_at is None else "\n".join(parser.nodes)
 
 
@@ -227,9 +231,11 @@ def chart_links(
     """
     def parse(page: str | None):
         found = _ChartLinks(link_class, org_class, title_attr)
-        if page is not None:
-            found.feed(page)
+        try:
+            found.feed(page or "")
             found.close()
+        except AssertionError:
+            return None, []
         links = [
             {"pos": pos, "href": href, "title": title}
             for pos, (href, title) in enumerate(found.links)

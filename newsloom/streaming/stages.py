@@ -40,31 +40,36 @@ def utc_now() -> datetime:
 def once_per_job(
     requests: DataFrame, arrived: str = "arrived", within: str = DUPLICATE_WINDOW
 ) -> DataFrame:
-    """Drops a repeated job id that comes within the window; older ids leave the state."""
+    """Drops a repeated job id that comes within the window; older ids leave the state.
+
+    ``arrived`` should be the time of processing: rows behind the watermark are dropped, and
+    a file may well be older than others that were read before it.
+    """
     return requests.withWatermark(arrived, within).dropDuplicatesWithinWatermark(["job_id"])
 
 
 def crawl_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of (seq, job_id, ticker, arrived) from JSON-lines files.
 
-    Messages without a ``seq`` are ordered by the second they arrived in.
+    Messages without a ``seq`` are ordered by the second their file was written in.
     """
     lines = spark.readStream.text(folder).select(
-        "value", F.col("_metadata.file_modification_time").alias("arrived")
+        "value", F.unix_seconds("_metadata.file_modification_time").alias("second")
     )
-    within_second = F.pmod(F.xxhash64("job_id"), F.lit(1000))
-    by_arrival = F.unix_seconds("arrived") * 1000 + within_second
+    requests = decode_crawl(lines)
+    by_file = F.col("second") * 1000 + F.pmod(F.xxhash64("job_id"), F.lit(1000))
     return once_per_job(
-        decode_crawl(lines).withColumn("seq", F.coalesce("seq", by_arrival))
+        requests.select(
+            F.coalesce("seq", by_file).alias("seq"), "job_id", "ticker",
+            F.current_timestamp().alias("arrived"),
+        )
     )
 
 
 def stage_requests(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Stream of (seq, job_id, urls, ticker, org, arrived) that the stage before handed on."""
-    rows = stream_table(spark, root, table).select(
-        "*", F.col("_metadata.file_modification_time").alias("arrived")
-    )
-    return once_per_job(rows.drop("stage", "batch"))
+    rows = stream_table(spark, root, table).drop("stage", "batch")
+    return once_per_job(rows.withColumn("arrived", F.current_timestamp()))
 
 
 def _start(

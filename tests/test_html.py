@@ -33,6 +33,10 @@ LINK = "subtle-link fin-size-small titles noUnderline yf-1btaiiq"
     ("<!-- <main>no</main> --><main>yes", "yes"),
     ("<script>'<main>no</main>'</script><main>yes</main>", "yes"),
     ("<main>a <b>bold", "a\nbold"),
+    ("<main>a<br>b<br/>c<br/>d</br>e</main>", "a\nb\nc\nd\ne"),
+    ("<main>a<![CDATA[b]]>c</main>", "a\nb\nc"),
+    ("<main>a<![nonsense]>b</main>", None),
+    ("<main>&#0;&#999999999999;</main>", "\x00\ufffd"),
 ])
 def test_root_text(page, nodes):
     assert root_text(page, "main") == nodes

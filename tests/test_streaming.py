@@ -1,7 +1,9 @@
 """The stages as streams: equal to the batch plans, also after a restart."""
 
 import json
+import os
 import sys
+import time
 from datetime import datetime
 
 import pytest
@@ -102,6 +104,15 @@ def test_requests_flow_through_all_stages(spark, tmp_path):
         read_table(spark, site.root, "articles"), read_table(spark, site.root, "article_updates"))
     assert {r.summary for r in final.collect()} == {"fine"}
 
+    # A file older than all before it, without sequence numbers, is not lost.
+    late = tmp_path / "messages" / "late.json"
+    late.write_text('{"job_id": "j6", "data": "B"}')
+    old = time.time() - 3 * 24 * 3600
+    os.utime(late, (old, old))
+    site.run()
+    status = {r.job_id: r.status for r in stages.live_status(spark, site.root).collect()}
+    assert status["j6"] == "news crops ready"
+
     # Nothing new: running once more changes nothing.
     before = {t: len(site.rows(t)) for t in ("articles", "article_updates", "fragments", "job_status")}
     site.run()
