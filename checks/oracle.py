@@ -153,11 +153,21 @@ def _cards(source: str) -> str:
         coalesce(url, 'N/A') as source from ({source}) where rn <= 10"""
 
 
-RANKED = """select *, cast(row_number() over (partition by ticker order by time_created desc, seq) as integer) as rn
-            from fragments"""
+def _ranked(table: str) -> str:
+    return f"""select *, cast(row_number() over (partition by ticker order by time_created desc, seq) as integer) as rn
+            from {table}"""
+
+
+INSIGHT_FRAGMENTS = f"""select seq, org, ticker, url, {RUN_AT} as time_created,
+               case when n % 5 = 1 then '' else concat('reason ', cast(n % 3 as varchar)) end as related_reason_simple,
+               case when n % 5 = 1 then null else 'Company: ' end as related_reason_short,
+               case when n % 5 = 1 then 'neutral' when n % 2 = 1 then 'positive' else 'negative' end as polarity,
+               title, case when n % 5 = 1 then 'unknown' else 'up' end as actual_trend,
+               case when n % 5 = 1 then '' else concat('"', cast(n as varchar), '"', chr(10)) end as quote_frag
+        from answered where n % 5 not in (0, 2)"""
 
 ORACLE = {
-    "top_fragments": _with("fragments", _cards(RANKED)),
+    "top_fragments": _with("fragments", _cards(_ranked("fragments"))),
     "top_one_ticker": _with("fragments", """select seq, url, time_created from fragments
         where ticker = 'src3' order by time_created desc, seq limit 10"""),
     "snapshots_all": _with("snapshots", "select seq, ticker, org from snapshots"),
@@ -347,14 +357,10 @@ ORACLE = {
         from page_articles a left join updates u on u.url = a.url"""),
     "summarise_status": f"""select page_id * {CHILD} + 1 as seq, concat('p', cast(page_id as varchar)) as job_id,
         'sumaries ready' as status, {RUN_AT} as time from pages""",
-    "insights_fragments": _with("requests articles fragments", f"""+{INSIGHT_ROWS}
-        select seq, org, ticker, url, {RUN_AT} as time_created,
-               case when n % 5 = 1 then '' else concat('reason ', cast(n % 3 as varchar)) end as related_reason_simple,
-               case when n % 5 = 1 then null else 'Company: ' end as related_reason_short,
-               case when n % 5 = 1 then 'neutral' when n % 2 = 1 then 'positive' else 'negative' end as polarity,
-               title, case when n % 5 = 1 then 'unknown' else 'up' end as actual_trend,
-               case when n % 5 = 1 then '' else concat('"', cast(n as varchar), '"', chr(10)) end as quote_frag
-        from answered where n % 5 not in (0, 2)"""),
+    "insights_fragments": _with("requests articles fragments", f"+{INSIGHT_ROWS} {INSIGHT_FRAGMENTS}"),
+    "newest_insights": _with("requests articles fragments", f"""+{INSIGHT_ROWS},
+        everything as (select * from fragments union all by name {INSIGHT_FRAGMENTS})
+        {_cards(_ranked("everything"))}"""),
     "insights_status": f"""select doc_id * {CHILD} + 2 as seq, concat('r', cast(doc_id // 7 as varchar)) as job_id,
         'news crops ready' as status, {RUN_AT} as time from documents""",
     "ingest_articles": _with("snapshots crawls landed word_articles word_pages", f"""+{INGESTED},
@@ -381,7 +387,7 @@ ORACLE = {
                          or c.ticker in (select ticker from looked where not expired)"""),
     "read_cards": _with("status fragments", f"""+{JOB_STATUS}, asked as (
             select distinct {JOB} as job_id, source as ticker from events join documents on doc_id = event_id),
-        shown as ({_cards(RANKED)})
+        shown as ({_cards(_ranked("fragments"))})
         select a.job_id, s.* from asked a join job_states j on j.job_id = a.job_id join shown s on s.ticker = a.ticker
         where j.status = 'news crops ready'"""),
     "stream_job_status": _with("status", f"+{JOB_STATUS} select job_id, status from job_states"),

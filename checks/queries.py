@@ -465,6 +465,12 @@ def insights_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _insights(spark, sf_dir).fragments
 
 
+def newest_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From requests to cards: what a run finds, next to what was stored, newest ten per ticker."""
+    found = _insights(spark, sf_dir).fragments
+    return reports.top_cards(records.append(views.fragments(spark, sf_dir), found))
+
+
 def insights_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _insights(spark, sf_dir).status
 
@@ -605,7 +611,7 @@ QUERIES = {
         all_job_status, job_history, job_ids, urls, queue_depth, stuck_jobs, pair_counters,
         saved_counters, shown_counters, snapshot_sizes, reason_profile, time_texts, reflow, summary_fields,
         insight_fields, links, links_capped, article_text, summarise_updates, summarise_articles,
-        summarise_status, insights_fragments, insights_status, ingest_articles, ingest_snapshots,
+        summarise_status, insights_fragments, newest_insights, insights_status, ingest_articles, ingest_snapshots,
         ingest_requests, ingest_status, read_cards, stream_job_status, stream_unique_jobs,
         stream_ingest, stream_summaries, stream_insights,
     )

@@ -130,7 +130,7 @@ def start_summaries(
         articles = current_articles(
             read_table(session, root, "articles"),
             read_table(session, root, "article_updates", "summary", batch_id),
-            request_rows(requests),
+            request_rows(requests), texts=False,
         )
         done = summarise(
             requests, articles, pages(session), system_prompt, annotator, clock(), page_root,

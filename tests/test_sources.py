@@ -102,3 +102,5 @@ def test_current_articles_apply_the_update_log(spark):
     assert [(r.url, r.content, r.summary) for r in
             tables.current_articles(articles, log, wanted).collect()] == [("a", "new", "s")]
     assert tables.current_articles(articles, log).count() == 2
+    marked = tables.current_articles(articles, log, texts=False).collect()
+    assert {(r.url, r.content) for r in marked} == {("a", tables.STORED), ("b", "pending")}
