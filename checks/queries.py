@@ -387,9 +387,7 @@ def summary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insight_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = views.insights(spark, sf_dir).withColumn(
-        "object", insight.parse_insight(F.col("answer"))
-    )
+    parsed = insight.with_insight(views.insights(spark, sf_dir), out="object")
     return parsed.filter(insight.related(F.col("object"))).select(
         "doc_id",
         *[insight.insight_field(F.col("object"), key).alias(key) for key in insight.INSIGHT_DEFAULTS],

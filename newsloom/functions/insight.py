@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.constants import INSIGHT_DEFAULTS, NO_RELATION
 
 
 def parse_insight(answer: Column) -> Column:
-    """One JSON object to MAP<STRING, STRING>; anything else gives NULL.
+    """The objects of an answer, read as the elements of one array.
 
-    A map keeps a missing key apart from an explicit null, which a struct cannot.
-    Reading the answer as the only element of an array makes text after the object
-    a syntax error instead of being passed over.
+    Maps keep a missing key apart from an explicit null, which structs cannot. Reading the
+    answer inside an array makes text after the object a syntax error instead of being
+    passed over. NULL if the answer is not JSON.
     """
     as_list = F.concat(F.lit("["), answer, F.lit("]"))
-    objects = F.from_json(as_list, "array<map<string,string>>")
-    return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
+    return F.from_json(as_list, "array<map<string,string>>")
+
+
+def with_insight(answers: DataFrame, answer: str = "answer", out: str = "insight") -> DataFrame:
+    """``answers`` with the insight as MAP<STRING, STRING>, NULL unless it is one object.
+
+    Going through ``explode`` parses each answer once, however often filters and fields
+    refer to it.
+    """
+    objects = F.col("_objects")
+    parsed = answers.withColumn("_objects", F.explode(F.array(parse_insight(F.col(answer)))))
+    single = F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
+    return parsed.withColumn(out, single).drop("_objects")
 
 
 def insight_value(insight: Column, key: str) -> Column:

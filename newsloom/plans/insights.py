@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.constants import INSIGHT_DEFAULTS
-from newsloom.functions.insight import insight_field, parse_insight, related
+from newsloom.functions.insight import insight_field, related, with_insight
 from newsloom.functions.predicates import usable_content
 from newsloom.functions.status import insights_ready
 from newsloom.functions.text import insight_prompt, or_default
@@ -49,9 +49,9 @@ def insight_questions(pairs: DataFrame, articles: DataFrame) -> DataFrame:
 
 def parsed_insights(answers: DataFrame) -> DataFrame:
     """Rows whose ``answer`` is an insight that found a relation, one column per field."""
-    parsed = answers.withColumn("_insight", parse_insight(F.col("answer")))
     return (
-        parsed.filter(related(F.col("_insight")))
+        with_insight(answers, out="_insight")
+        .filter(related(F.col("_insight")))
         .withColumns({key: insight_field(F.col("_insight"), key) for key in INSIGHT_DEFAULTS})
         .drop("_insight", "answer")
     )

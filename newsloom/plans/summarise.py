@@ -15,7 +15,7 @@ from newsloom.operators.lookups import only, request_rows
 from newsloom.operators.records import child_seq, new_status
 from newsloom.plans.annotate import Annotator, annotate
 from newsloom.session import materialise
-from newsloom.sources.html import article_text
+from newsloom.sources.html import page_text, readable
 from newsloom.sources.pages import with_path_fields
 
 
@@ -58,12 +58,10 @@ def summary_questions(
     if pages_by_ticker:
         keys = ["ticker", "path"]
         waiting = with_path_fields(waiting).select("url", *keys)
-    texts = article_text(pages.select(*keys, "html").join(waiting, keys), root)
-    return (
-        texts.filter(F.col("text").isNotNull())
-        .groupBy("url")
-        .agg(F.max("text").alias("content"))
-        .withColumn("user_prompt", summary_prompt(F.col("content")))
+    texts = page_text(pages.select(*keys, "html").join(waiting, keys), root)
+    per_url = texts.filter(F.col("text").isNotNull()).groupBy("url").agg(F.max("text").alias("text"))
+    return per_url.select("url", readable(F.col("text")).alias("content")).withColumn(
+        "user_prompt", summary_prompt(F.col("content"))
     )
 
 

@@ -13,7 +13,7 @@ from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from newsloom.constants import LINK_CLASS, ORG_CLASS
 from newsloom.functions.text import cut_story, reflow
@@ -207,17 +207,24 @@ def _replace_column(
     return df.mapInArrow(run, schema)
 
 
-def article_text(pages: DataFrame, root: str = "main", html: str = "html") -> DataFrame:
-    """``pages`` with ``html`` replaced by ``text``: the readable text of the first ``root``.
-
-    NULL without such an element. An element without text gives one blank.
-    """
+def page_text(pages: DataFrame, root: str = "main", html: str = "html") -> DataFrame:
+    """``pages`` with ``html`` replaced by ``text``: the text nodes of the first ``root``, one
+    per line, or NULL without such an element."""
     candidate = F.when(F.col(html).rlike(f"(?i)<{root}"), F.col(html))
-    raw = _replace_column(
+    return _replace_column(
         pages.withColumn(html, candidate), html, {"text": T.StringType()},
         lambda page: (root_text(page, root),),
     )
-    return raw.withColumn("text", reflow(cut_story(F.col("text"))))
+
+
+def readable(text: Column) -> Column:
+    """Page text up to the story break, reflowed; an empty text gives one blank."""
+    return reflow(cut_story(text))
+
+
+def article_text(pages: DataFrame, root: str = "main", html: str = "html") -> DataFrame:
+    """``pages`` with ``html`` replaced by the readable ``text`` of the first ``root``."""
+    return page_text(pages, root, html).withColumn("text", readable(F.col("text")))
 
 
 def chart_links(

@@ -102,9 +102,10 @@ def test_has_value(spark):
     (None, None, None),
 ])
 def test_insight(spark, answer, kept, polarity):
-    row = spark.createDataFrame([(answer,)], "x string").select(
-        insight.related(insight.parse_insight(F.col("x"))).alias("kept"),
-        insight.insight_field(insight.parse_insight(F.col("x")), "polarity").alias("polarity"),
+    parsed = insight.with_insight(spark.createDataFrame([(answer,)], "answer string"))
+    row = parsed.select(
+        insight.related(F.col("insight")).alias("kept"),
+        insight.insight_field(F.col("insight"), "polarity").alias("polarity"),
     ).head()
     assert row.kept == kept
     if kept:
@@ -112,6 +113,15 @@ def test_insight(spark, answer, kept, polarity):
         assert json.loads(answer).get("related_reason_simple") != "no relation"
 
 
+def test_an_answer_is_parsed_once(spark):
+    answers = spark.createDataFrame([('{"polarity": "up"}',)], "answer string")
+    rows = insight.with_insight(answers).filter(insight.related(F.col("insight"))).select(
+        *[insight.insight_field(F.col("insight"), key).alias(key) for key in insight.INSIGHT_DEFAULTS]
+    )
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_status_class_looks_anywhere_in_the_text(spark):
     cases = {
         "News Crops Ready": "done", "news ready a@b@C@1": "running", "Job failed: x": "failed",
