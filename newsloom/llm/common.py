@@ -62,3 +62,22 @@ def per_process(name: str, make: Callable):
 def file_digest(path: str) -> str:
     with open(path, "rb") as file:
         return hashlib.sha256(file.read()).hexdigest()
+
+
+def slices(texts, budget: int):
+    """Cut an Arrow text column into (start, list of texts) of about ``budget`` bytes each.
+
+    Nulls come out as empty texts. One text above the budget is a slice of its own.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(texts):
+        used = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, used + budget, side="right")))
+        part = texts.slice(start, stop - start).to_pylist()
+        yield start, [text or "" for text in part]
+        start = stop
