@@ -10,10 +10,10 @@ that repeats itself has little entropy. The measures are
   it lacks of the most that so many tokens (``LONG`` at most) could have.
 
 Bands are set per language, or per script where the language is null, from the quartiles of
-all documents that pass the base rules: a text is rejected if a measure lies more than
-``WIDTH`` interquartile ranges outside the quartiles. The ranges have a floor, so that a
-language of much the same texts doesn't reject its own. Few documents therefore fall out
-unless they stand far off the rest of their language.
+all documents that pass the base rules: a text is rejected if a measure lies some
+interquartile ranges outside the quartiles, more for short texts (``BANDS``). The ranges have
+a floor, so that a language of much the same texts doesn't reject its own. Few documents
+therefore fall out unless they stand far off the rest of their language.
 
 Base rules: fewer than 10 words, or more than 20 % of words in repeated 5-word windows.
 
@@ -34,9 +34,17 @@ WINDOW = 5
 LEAST_WORDS = 10
 LONG = 512
 SLICE_BYTES = 512 << 10
-#: Interquartile ranges beyond the quartiles, and the least range of each measure.
-WIDTH = 4.0
-BANDS = {"chars_per_token": 0.1, "byte_share": 0.01, "entropy_gap": 0.1}
+#: Per measure: interquartile ranges beyond the quartiles, the least range, and whether
+#: short texts get more room, because their means vary more.
+BANDS = {
+    "chars_per_token": (3.0, 0.05, True),
+    "byte_share": (3.0, 0.01, True),
+    "entropy_gap": (1.25, 0.25, False),
+}
+#: Too little of these is no fault.
+ONE_SIDED = ("byte_share", "entropy_gap")
+#: A text of so many tokens gets root two of the room of a very long one.
+STEADY = 1000.0
 MEASURES = T.StructType([
     *[T.StructField(name, T.LongType()) for name in
       ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")],
@@ -171,20 +179,24 @@ def bands(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
     ]
     found = measured.filter(~base_failed()).groupBy(group_of(lang_col).alias("band_of")).agg(*quartiles)
     limits = []
-    for name, floor in BANDS.items():
+    for name, (width, floor, _) in BANDS.items():
         low, high = F.col(name)[0], F.col(name)[1]
-        margin = WIDTH * F.greatest(high - low, F.lit(floor))
-        limits += [(low - margin).alias(f"low_{name}"), (high + margin).alias(f"high_{name}")]
+        margin = width * F.greatest(high - low, F.lit(floor))
+        limits += [low.alias(f"low_{name}"), high.alias(f"high_{name}"),
+                   margin.alias(f"margin_{name}")]
     return found.select("band_of", *limits)
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``measured`` with base_failed and kept."""
     within = ~base_failed()
-    for name in BANDS:
-        fits = F.col(name).between(F.col(f"low_{name}"), F.col(f"high_{name}"))
-        within = within & (fits if name == "chars_per_token"
-                           else F.col(name) <= F.col(f"high_{name}"))
+    for name, (_, _, widened) in BANDS.items():
+        room = F.col(f"margin_{name}")
+        if widened:
+            room = room * F.sqrt(1 + STEADY / F.greatest("n_tokens", F.lit(1)))
+        within = within & (F.col(name) <= F.col(f"high_{name}") + room)
+        if name not in ONE_SIDED:
+            within = within & (F.col(name) >= F.col(f"low_{name}") - room)
     kept = measured.columns
     return measured.withColumn("band_of", group_of(lang_col)).join(limits, "band_of", "left").select(
         *kept, base_failed().alias("base_failed"),
