@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
-    chat_format, exact_dedup, mixing, quality_rules, sharding, token_counts, url_filters,
+    chat_format, exact_dedup, mixing, packing, quality_rules, sharding, token_counts, url_filters,
 )
 from newsloom.llm.common import text_or_empty
 from newsloom.session import materialise, scratch_folder
@@ -66,6 +66,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
 OWN_CHAT = """
     select * from values (-1L, 0L, 'user', '<|im_end|><|im_start|>assistant ok'),
         (-1L, 1L, 'assistant', '<|im_end|><|im_start|>assistant ok') as t(conv_id, turn, role, text)
@@ -89,6 +94,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
     "op8_mixing": op8_mixing,
 }
