@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
-    chat_format, exact_dedup, mixing, packing, quality_rules, sharding, token_counts, url_filters,
+    chat_format, exact_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_counts, url_filters,
 )
 from newsloom.llm.common import text_or_empty
 from newsloom.session import materialise, scratch_folder
@@ -88,6 +88,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -97,6 +101,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
     "op8_mixing": op8_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -223,9 +228,39 @@ MIX_SQL = rf"""
     from taken2
 """
 
+NGRAM_SQL = rf"""
+    with recursive words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+            '{WORD}') as w
+        from documents
+    ), shingles as (
+        select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5
+            then [array_to_string(w, ' ')]
+            else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
+        from words
+    ), sizes as (
+        select doc_id, count(*) as n from shingles group by doc_id
+    ), pairs as (
+        select a.doc_id as u, b.doc_id as v, count(*) as shared
+        from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+        group by all
+    ), links as materialized (
+        select u, v from pairs join sizes x on x.doc_id = u join sizes y on y.doc_id = v
+        where 100 * shared >= 80 * (x.n + y.n - shared)
+    ), reached as (
+        select doc_id as u, doc_id as v from documents
+        union
+        select reached.u, links.v from reached join links on reached.v = links.u
+    )
+    select documents.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+    from documents left join sizes using (doc_id)
+    join (select u as doc_id, min(v) as component_id from reached group by u) using (doc_id)
+"""
+
 ORACLE = {
     "op1_url_filters": URL_SQL,
     "op5_exact_dedup": DEDUP_SQL,
     "op7_chat_format": CHAT_SQL,
     "op8_mixing": MIX_SQL,
+    "op10_ngram_join": NGRAM_SQL,
 }
