@@ -81,3 +81,13 @@ def slices(texts, budget: int):
         part = texts.slice(start, stop - start).to_pylist()
         yield start, [text or "" for text in part]
         start = stop
+
+
+def aside(docs: DataFrame, names) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns called like ``names`` renamed, and what gives back its columns."""
+    columns = docs.columns
+    moved = {c: f"_aside_{c}" for c in columns if c in names}
+
+    def restored(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(moved.get(c, c)).alias(c) for c in columns])
+    return docs.withColumnsRenamed(moved), restored

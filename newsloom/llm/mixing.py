@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsloom.llm.common import HASH_BITS, WORD, hash60, text_or_empty
+from newsloom.llm.common import HASH_BITS, WORD, aside, hash60, text_or_empty
 from newsloom.session import materialise
 
 BITS = 10
@@ -199,3 +199,9 @@ def repeated(mixed: DataFrame) -> DataFrame:
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
     copies = F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")
     return mixed.select("*", copies).drop(*OUTPUT, "_copy")
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``."""
+    moved, restored = aside(docs, OUTPUT)
+    return restored(repeated(mix(moved, **options)))

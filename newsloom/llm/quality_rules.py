@@ -27,7 +27,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsloom.llm.common import SPACES, slices
+from newsloom.llm.common import SPACES, aside, slices
+from newsloom.session import materialise
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -202,3 +203,10 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang") -> Dat
         *kept, base_failed().alias("base_failed"),
         F.coalesce(within, ~base_failed()).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns they had."""
+    moved, restored = aside(docs, [*MEASURES.names, "base_failed", "kept", "band_of"])
+    measured = materialise(measure(moved, vocabulary, text_col, lang_col))
+    return restored(judge(measured, bands(measured, lang_col), lang_col).filter("kept"))

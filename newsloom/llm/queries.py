@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
-    chat_format, exact_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_counts, url_filters,
+    chat_format, exact_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_counts, url_filters,
 )
 from newsloom.llm.common import text_or_empty
 from newsloom.session import materialise, scratch_folder
@@ -88,6 +88,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
 }
 
