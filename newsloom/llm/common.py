@@ -91,3 +91,11 @@ def aside(docs: DataFrame, names) -> tuple[DataFrame, Callable[[DataFrame], Data
     def restored(rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(moved.get(c, c)).alias(c) for c in columns])
     return docs.withColumnsRenamed(moved), restored
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table whose results are stored too, so that nothing reads it again."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
