@@ -31,7 +31,7 @@ CACHE_SCHEMA = "content binary, n_tokens bigint, tokenizer string"
 #: Bytes of text given to the library at once; bounds what it holds.
 SLICE_BYTES = 256 << 10
 #: A worker remembers about so many chunks, none longer than ``MEMO_CHARS``.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 1_000_000
 MEMO_CHARS = 64
 
 
