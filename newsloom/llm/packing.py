@@ -33,12 +33,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from newsloom.llm.common import Memo, per_process, slices
+from newsloom.llm.common import per_process, slices
 from newsloom.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_WORDS = 500_000
+#: A worker remembers about so many words, none longer than ``MEMO_CHARS``.
+MEMO_WORDS = 1_000_000
+MEMO_CHARS = 64
 SLICE_BYTES = 1 << 20
 #: No slice of a length holds more than this share of all pieces.
 SLICES = 512
@@ -50,7 +52,7 @@ IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
 def word_encoder(vocabulary: str):
-    """A function from a text to its ids as little-endian bytes, through a memo of words.
+    """A function from texts to their ids as little-endian bytes, through a memo of words.
 
     Python also splits at four control characters that the tokenizer takes for symbols;
     texts with one of them are split by the tokenizer's white space.
@@ -68,15 +70,20 @@ def word_encoder(vocabulary: str):
     separators = re.compile("[\x1c-\x1f]")
     spaces = re.compile("[\t-\r \x85\xa0  -     　]+")
 
-    def encode_word(word):
-        ids = tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    memo = Memo(encode_word, MEMO_WORDS)
-
-    def encode(text):
-        words = spaces.split(text) if separators.search(text) else text.split()
-        return b"".join(map(memo.__getitem__, words))
+    memo: dict[str, bytes] = {}
+
+    def encode(texts):
+        split = [spaces.split(text) if separators.search(text) else text.split() for text in texts]
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        new = list({word for words in split for word in words if word not in memo})
+        found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        memo.update((word, np.array(e.ids, dtype="<u4").tobytes()) for word, e in zip(new, found))
+        coded = [b"".join(map(memo.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > MEMO_CHARS:
+                del memo[word]
+        return coded
     return encode
 
 
@@ -102,8 +109,8 @@ def _cut(vocabulary: str, text_col: str, kept: list[str], capacity: int, with_id
                 )
 
             for first, texts in slices(batch.column(text_col), SLICE_BYTES):
-                for i, text in enumerate(texts):
-                    ids = encode(text) + end
+                for i, ids in enumerate(encode(texts)):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), size)):
                         part = ids[at:at + size]
                         numbers = (np.frombuffer(part, "<i4").tolist(),) if with_ids else ()
