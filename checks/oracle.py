@@ -75,6 +75,9 @@ CAPPED = """capped as (
           where contains(href, '/') and href <> '' and title <> '')
     where n <= 5 group by page_id, href)"""
 
+# The same without a limit, as the jobs take them.
+EVERY_LINK = CAPPED.replace("where n <= 5 group", "group")
+
 LATEST_SNAPSHOT = """newest as (
     select ticker, seq, org, time_created, url_keys from (
         select *, row_number() over (partition by ticker order by time_created desc, seq) as n
@@ -119,11 +122,11 @@ INSIGHT_ROWS = """pairs as (
         concat('Company: ', case when p.org = '' then 'Not specified' else p.org end,
                chr(10), 'Ticker: ', p.ticker, chr(10), 'Article Title: ', l.title,
                chr(10), 'Publication Date: ', case when l.publish_date = '' then 'Not specified' else l.publish_date end,
-               chr(10), chr(10), 'News Content:', chr(10), substr(l.content, 1, 8000), chr(10)) as prompt
+               chr(10), chr(10), 'News Content:', chr(10), l.content, chr(10)) as prompt
     from pairs p join latest l on l.url = p.url where l.content not in ('', 'pending')
 ), answered as (select *, length(prompt) as n from asked)"""
 
-INGESTED = f"""{LATEST_SNAPSHOT}, {PAGE_LINKS}, {CAPPED}, asked as (
+INGESTED = f"""{LATEST_SNAPSHOT}, {PAGE_LINKS}, {EVERY_LINK}, asked as (
     select ticker, min(seq) as seq from crawls group by ticker
 ), looked as (
     select a.ticker, a.seq, n.org, n.url_keys,
@@ -392,6 +395,13 @@ ORACLE = {
         where j.status = 'news crops ready'"""),
     "stream_job_status": _with("status", f"+{JOB_STATUS} select job_id, status from job_states"),
 }
+ORACLE["stream_requests"] = """
+    select distinct concat(user_id, '-', strftime(ts, '%Y-%m-%d')) as job_id,
+        concat('T', event_id % 5) as ticker from events"""
+ORACLE["rejected_messages"] = """
+    select event_id, case when event_id % 3 = 0 then concat('{', event_type) else concat('{"data":"', event_type, '"}')
+        end as value, case when event_id % 3 = 0 then 'not JSON' else 'no job_id' end as reason
+    from events where event_id % 3 < 2"""
 ORACLE["stream_unique_jobs"] = ORACLE["job_ids"]
 ORACLE["stream_ingest"] = ORACLE["ingest_articles"]
 ORACLE["stream_summaries"] = ORACLE["summarise_updates"]

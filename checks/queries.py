@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import rules, views
+from newsloom.constants import INSIGHT_INPUT_CHARS, LINKS_PER_PAGE
 from newsloom.functions import insight, predicates, text
 from newsloom.functions.links import capped_links, news_links
 from newsloom.functions.status import job_failed, news_ready, status_class, summaries_ready
@@ -127,7 +128,7 @@ def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     system_prompt = prompts.load_prompt(views.prompts(spark, sf_dir), "insight")
     asked = views.articles(spark, sf_dir).withColumn("org", F.col("summary"))
-    user = text.insight_prompt(*map(F.col, ("org", "url", "title", "publish_date", "content")))
+    user = text.insight_prompt(*map(F.col, ("org", "url", "title", "publish_date", "content")), INSIGHT_INPUT_CHARS)
     answered = asked.select(
         "seq", F.md5(F.concat(F.lit(system_prompt), user)).alias("insight_md5"),
         F.md5(text.summary_prompt(F.col("content"))).alias("summary_md5"),
@@ -411,7 +412,7 @@ def links_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.table(spark, sf_dir, "pages").select("page_id", "html"),
         link_class=None, title_attr=None,
     )
-    capped = capped_links(news_links(F.col("links"), "/"))
+    capped = capped_links(news_links(F.col("links"), "/"), LINKS_PER_PAGE)
     rows = html.link_rows(parsed.select("page_id", capped.alias("links")))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -533,13 +534,41 @@ def stream_unique_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     arrivals.write.parquet(f"{root}/arrivals")
     stream = spark.readStream.schema(arrivals.schema).parquet(f"{root}/arrivals")
-    written = stages.once_per_job(stream).select("job_id").writeStream.format("parquet")
+    written = stages.once_per_request(stream, ["job_id"]).select("job_id").writeStream.format("parquet")
     written.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(
         f"{root}/jobs"
     ).awaitTermination()
     return spark.read.schema("job_id string").parquet(f"{root}/jobs")
 
 
+def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that ask for several tickers; messages without a number, all of them sent twice."""
+    root = scratch_folder(spark)
+    sent = views.table(spark, sf_dir, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string"))
+        .alias("job_id"),
+        F.concat(F.lit("T"), (F.col("event_id") % 5).cast("string")).alias("ticker"),
+    )
+    messages.encode_crawl(sent.unionAll(sent)).write.text(f"{root}/messages")
+    stream = stages.crawl_requests(spark, f"{root}/messages").select("job_id", "ticker")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(
+        availableNow=True
+    ).start(f"{root}/requests").awaitTermination()
+    return spark.read.schema("job_id string, ticker string").parquet(f"{root}/requests")
+
+
+def rejected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the messages is broken JSON, a third names no job."""
+    kind, kept = F.col("event_id") % 3, F.col("event_type")
+    value = (
+        F.when(kind == 0, F.concat(F.lit("{"), kept))
+        .when(kind == 1, F.concat(F.lit('{"data":"'), kept, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"job_id":"j","data":"'), kept, F.lit('"}')))
+    )
+    events = views.table(spark, sf_dir, "events")
+    return messages.rejected(events.select("event_id", value.alias("value")))
+
+
 def _added(spark: SparkSession, root: str, table: str, stage: str) -> DataFrame:
     rows = spark.read.schema(tables.stored_schema(table)).parquet(f"{root}/{table}")
     return rows.filter(F.col("stage") == stage).drop("stage", "batch")
@@ -585,11 +614,7 @@ def stream_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.create_tables(spark, root)
     tables.write_batch(views.articles(spark, sf_dir), root, "articles", "start", 1)
     tables.write_batch(views.fragments(spark, sf_dir), root, "fragments", "start", 1)
-    # One request per document: job ids that are shared there are told apart here.
-    asked = views.requests(spark, sf_dir).withColumn(
-        "job_id", F.concat_ws("/", "job_id", F.col("seq").cast("string"))
-    )
-    tables.write_batch(asked, root, "crop_requests", "start", 1)
+    tables.write_batch(views.requests(spark, sf_dir), root, "crop_requests", "start", 1)
     stages.start_insights(
         spark, root, f"{root}/checkpoint", "Extract.", rules.insight_rule,
         clock=lambda: views.RUN_AT,
@@ -611,6 +636,7 @@ QUERIES = {
         insight_fields, links, links_capped, article_text, summarise_updates, summarise_articles,
         summarise_status, insights_fragments, newest_insights, insights_status, ingest_articles, ingest_snapshots,
         ingest_requests, ingest_status, read_cards, stream_job_status, stream_unique_jobs,
+        stream_requests, rejected_messages,
         stream_ingest, stream_summaries, stream_insights,
     )
 }

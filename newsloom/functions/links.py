@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from newsloom.constants import LINKS_PER_PAGE, NEWS_DOMAIN
+from newsloom.constants import NEWS_DOMAIN
 from newsloom.functions.predicates import news_link
 
 
@@ -13,12 +13,12 @@ def news_links(links: Column, domain: str = NEWS_DOMAIN) -> Column:
     return F.filter(links, lambda link: news_link(link["href"], link["title"], domain))
 
 
-def capped_links(links: Column, max_links: int = LINKS_PER_PAGE) -> Column:
-    """The first ``max_links`` entries, then one entry per href.
+def capped_links(links: Column, max_links: int | None = None) -> Column:
+    """The first ``max_links`` entries, or all, then one entry per href.
 
     The cap counts repeated hrefs; each keeps its first position and its last title.
     """
-    head = F.slice(links, 1, max_links)
+    head = links if max_links is None else F.slice(links, 1, max_links)
 
     def merged(href: Column) -> Column:
         same = F.filter(head, lambda link: link["href"] == href)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F
 
 from newsloom.constants import (
-    INSIGHT_INPUT_CHARS, NOT_SPECIFIED, SHORT_LINE, STORY_BREAK, TIME_FORMAT, WHITESPACE,
+    NOT_SPECIFIED, SHORT_LINE, STORY_BREAK, TIME_FORMAT, WHITESPACE,
 )
 
 
@@ -20,7 +20,9 @@ def moment(as_of: datetime | Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """``2024-1-5 3:04:05`` or ``2024-01-05 03:04:05`` to a timestamp, anything else to NULL."""
-    return F.try_to_timestamp(text, F.lit("y-M-d H:m:s")).cast("timestamp_ntz")
+    shaped = text.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\z")
+    time = F.try_to_timestamp(text, F.lit("y-M-d H:m:s"))
+    return F.when(shaped, time).cast("timestamp_ntz")
 
 
 def format_time(time: Column) -> Column:
@@ -73,17 +75,18 @@ def summary_prompt(content: Column) -> Column:
 
 def insight_prompt(
     org: Column, ticker: Column, title: Column, publish_date: Column, content: Column,
-    max_chars: int = INSIGHT_INPUT_CHARS,
+    max_chars: int | None = None,
 ) -> Column:
     """The question about one company and one article.
 
-    ``max_chars`` is the model's input limit and part of what is asked; stored
+    The whole content goes in. ``max_chars`` is for a model with an input limit; stored
     content is never cut.
     """
+    asked = content if max_chars is None else F.substring(content, 1, max_chars)
     return F.concat(
         F.lit("Company: "), or_default(org, NOT_SPECIFIED),
         F.lit("\nTicker: "), ticker,
         F.lit("\nArticle Title: "), F.coalesce(title, F.lit("")),
         F.lit("\nPublication Date: "), or_default(publish_date, NOT_SPECIFIED),
-        F.lit("\n\nNews Content:\n"), F.substring(content, 1, max_chars), F.lit("\n"),
+        F.lit("\n\nNews Content:\n"), asked, F.lit("\n"),
     )

@@ -22,9 +22,12 @@ def child_seq(seq: Column, position: Column) -> Column:
     Taken from the request alone, so a repeated run numbers its rows the same way and
     no global counter or sort is needed.
     """
-    fits = position < (1 << CHILD_BITS)
-    checked = F.when(fits, position).otherwise(
-        F.raise_error(F.lit("a request adds more rows than seq has room for"))
+    most = 1 << (63 - CHILD_BITS)
+    checked = (
+        F.when(position >= 1 << CHILD_BITS,
+               F.raise_error(F.lit("a request adds more rows than seq has room for")))
+        .when(~seq.between(-most, most - 1), F.raise_error(F.lit("seq is out of range")))
+        .otherwise(position)
     )
     return F.shiftleft(seq.cast("bigint"), CHILD_BITS) + checked
 

@@ -14,19 +14,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.session import rows_per_task
+from newsloom.session import materialise, rows_per_task
 
-# A key outside the thousand heaviest holds less than a thousandth of all rows, so this
-# bounds what is fetched and broadcast without leaving any really heavy key out.
-MAX_HEAVY_KEYS = 1000
 NULL_SLICES = 1024
 
 
 def heavy_keys(df: DataFrame, on: Sequence[str], max_rows: int) -> DataFrame:
     """Keys with more than ``max_rows`` rows, with the number of slices each one needs."""
     counts = df.groupBy(*on).count().filter(F.col("count") > max_rows)
-    top = counts.orderBy(F.desc("count"), *on).limit(MAX_HEAVY_KEYS)
-    return top.select(*on, F.ceil(F.col("count") / max_rows).cast("int").alias("_slices"))
+    return counts.select(*on, F.ceil(F.col("count") / max_rows).cast("int").alias("_slices"))
 
 
 def _is_keyless(on: Sequence[str]) -> Column:
@@ -47,11 +43,10 @@ def spread_join(
     same rows again.
     """
     spark, on = left.sparkSession, list(on)
-    heavy = heavy_keys(left, on, rows_per_task(spark))
-    found = heavy.collect()
-    if not found:
+    # At most a key per ``rows_per_task`` rows; Spark checks the stored size before a broadcast.
+    slices = materialise(heavy_keys(left, on, rows_per_task(spark)))
+    if slices.isEmpty():
         return left.join(right, on, how)
-    slices = F.broadcast(spark.createDataFrame(found, heavy.schema))
     hashed = F.xxhash64(*(spread_by or left.columns))
     # Rows without a key match nothing, so they may go anywhere.
     slice_no = (

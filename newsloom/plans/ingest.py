@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.constants import LINK_CLASS, LINKS_PER_PAGE, NEWS_DOMAIN, ORG_CLASS, SNAPSHOT_TTL_HOURS
+from newsloom.constants import LINK_CLASS, NEWS_DOMAIN, ORG_CLASS, SNAPSHOT_TTL_HOURS
 from newsloom.functions.links import capped_links, news_links
 from newsloom.functions.predicates import expired
 from newsloom.functions.status import news_ready
@@ -21,13 +21,13 @@ from newsloom.sources.html import chart_links
 
 @dataclass(frozen=True)
 class ChartLayout:
-    """How links and the organisation are told on a chart page."""
+    """How links and the organisation are told on a chart page, and how many links to take."""
 
     link_class: str | None = LINK_CLASS
     org_class: str = ORG_CLASS
     title_attr: str | None = "title"
     domain: str = NEWS_DOMAIN
-    max_links: int = LINKS_PER_PAGE
+    max_links: int | None = None
 
 
 @dataclass(frozen=True)

@@ -38,10 +38,12 @@ def pairs_to_ask(requested: DataFrame, fragments: DataFrame) -> DataFrame:
     return wanted.join(known_pairs(requested, fragments), PAIR, "left_anti")
 
 
-def insight_questions(pairs: DataFrame, articles: DataFrame) -> DataFrame:
+def insight_questions(
+    pairs: DataFrame, articles: DataFrame, max_chars: int | None = None
+) -> DataFrame:
     """(seq, url, ticker, org, title, user_prompt), one row per pair with content."""
     found = latest_articles(pairs, articles, columns=["title", "content", "publish_date"])
-    prompt = insight_prompt(*map(F.col, ("org", "ticker", "title", "publish_date", "content")))
+    prompt = insight_prompt(*map(F.col, ("org", "ticker", "title", "publish_date", "content")), max_chars)
     return found.filter(usable_content(F.col("content"))).select(
         "seq", *PAIR, "org", "title", prompt.alias("user_prompt")
     )
@@ -60,11 +62,12 @@ def parsed_insights(answers: DataFrame) -> DataFrame:
 def extract_insights(
     requests: DataFrame, articles: DataFrame, fragments: DataFrame, system_prompt: str,
     annotator: Annotator, as_of: datetime | Column, tasks: int | None = None,
+    max_chars: int | None = None,
     keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> Insights:
     """One pass over stage requests (seq, job_id, urls, ticker, org); every job ends ready."""
     pairs = keep(pairs_to_ask(request_rows(requests), fragments))
-    questions = insight_questions(pairs, articles)
+    questions = insight_questions(pairs, articles, max_chars)
     answers = keep(annotate(questions, annotator, system_prompt, PAIR, tasks))
     found = parsed_insights(answers).withColumn("org", or_default(F.col("org")))
     status = requests.select(child_seq(F.col("seq"), F.lit(2)).alias("seq"), "job_id")

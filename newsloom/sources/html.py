@@ -8,6 +8,7 @@ are emptied before they leave the JVM.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -39,7 +40,8 @@ class _RootText(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.root = root
         self.open: list[str] = []
-        self.void_closed: list[str] = []
+        self.open_count: Counter[str] = Counter()
+        self.void_closed: Counter[str] = Counter()
         self.root_at: int | None = None
         self.silent_at: int | None = None
         self.node: list[str] = []
@@ -54,13 +56,14 @@ class _RootText(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.end_node()
         if tag in VOID_TAGS:
-            self.void_closed.append(tag)
+            self.void_closed[tag] += 1
             return
         if self.root_at is None and tag == self.root:
             self.root_at = len(self.open)
         elif self.silent_at is None and tag in SILENT_TAGS:
             self.silent_at = len(self.open)
         self.open.append(tag)
+        self.open_count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID_TAGS:
@@ -70,15 +73,17 @@ class _RootText(HTMLParser):
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in self.void_closed:
+        if self.void_closed[tag]:
             # Its start tag has ended the text node.
-            self.void_closed.remove(tag)
+            self.void_closed[tag] -= 1
             return
         self.end_node()
-        if tag not in self.open:
+        if not self.open_count[tag]:
             return
-        while self.open.pop() != tag:
-            pass
+        closed = None
+        while closed != tag:
+            closed = self.open.pop()
+            self.open_count[closed] -= 1
         if self.silent_at is not None and len(self.open) <= self.silent_at:
             self.silent_at = None
         if self.root_at is not None and len(self.open) <= self.root_at:

@@ -31,6 +31,15 @@ def decode_stage(messages: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def rejected(
+    messages: DataFrame, schema: str = CRAWL_MESSAGE, value: str = "value"
+) -> DataFrame:
+    """The messages that decoding leaves out, whole, each with its ``reason``."""
+    reason = F.when(F.get_json_object(value, "$").isNull(), "not JSON").otherwise("no job_id")
+    left_out = F.from_json(value, schema)["job_id"].isNull()
+    return messages.filter(left_out).withColumn("reason", reason)
+
+
 def encode_crawl(requests: DataFrame) -> DataFrame:
     return _encoded(requests, "job_id", F.col("ticker").alias("data"))
 

@@ -7,7 +7,7 @@ own folders and reads the tables as they were before it, so repeats leave no tra
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,15 +37,17 @@ def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def once_per_job(
-    requests: DataFrame, arrived: str = "arrived", within: str = DUPLICATE_WINDOW
+def once_per_request(
+    requests: DataFrame, identity: Sequence[str], arrived: str = "arrived",
+    within: str = DUPLICATE_WINDOW,
 ) -> DataFrame:
-    """Drops a repeated job id that comes within the window; older ids leave the state.
+    """Drops a request whose ``identity`` columns repeat within the window; older ones leave
+    the state. A job may ask for several things, so its id alone is not an identity.
 
     ``arrived`` should be the time of processing: rows behind the watermark are dropped, and
     a file may well be older than others that were read before it.
     """
-    return requests.withWatermark(arrived, within).dropDuplicatesWithinWatermark(["job_id"])
+    return requests.withWatermark(arrived, within).dropDuplicatesWithinWatermark(list(identity))
 
 
 def crawl_requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,19 +59,21 @@ def crawl_requests(spark: SparkSession, folder: str) -> DataFrame:
         "value", F.unix_seconds("_metadata.file_modification_time").alias("second")
     )
     requests = decode_crawl(lines)
-    by_file = F.col("second") * 1000 + F.pmod(F.xxhash64("job_id"), F.lit(1000))
-    return once_per_job(
-        requests.select(
-            F.coalesce("seq", by_file).alias("seq"), "job_id", "ticker",
-            F.current_timestamp().alias("arrived"),
-        )
+    by_file = F.col("second") * 1000 + F.pmod(F.xxhash64("job_id", "ticker"), F.lit(1000))
+    sent = requests.select(
+        F.coalesce("seq", by_file).alias("seq"), "job_id", "ticker",
+        F.current_timestamp().alias("arrived"), F.col("seq").alias("sent"),
     )
+    # A message without seq is the same wherever it is repeated.
+    return once_per_request(sent, ["job_id", "ticker", "sent"]).drop("sent")
 
 
 def stage_requests(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Stream of (seq, job_id, urls, ticker, org, arrived) that the stage before handed on."""
     rows = stream_table(spark, root, table).drop("stage", "batch")
-    return once_per_job(rows.withColumn("arrived", F.current_timestamp()))
+    return once_per_request(
+        rows.withColumn("arrived", F.current_timestamp()), ["job_id", "ticker", "seq"]
+    )
 
 
 def _start(
@@ -149,7 +153,8 @@ def start_summaries(
 
 def start_insights(
     spark: SparkSession, root: str, checkpoint: str, system_prompt: str, annotator: Annotator,
-    tasks: int | None = None, clock: Clock = utc_now, trigger: dict | None = None,
+    tasks: int | None = None, max_chars: int | None = None, clock: Clock = utc_now,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Stage 3: insight requests to fragments. A batch that fails marks its jobs as failed."""
     def run(requests: DataFrame, batch_id: int) -> None:
@@ -161,7 +166,7 @@ def start_insights(
             )
             done = extract_insights(
                 requests, articles, read_table(session, root, "fragments", "crop", batch_id),
-                system_prompt, annotator, clock(), tasks,
+                system_prompt, annotator, clock(), tasks, max_chars,
             )
             write_batch(done.fragments, root, "fragments", "crop", batch_id)
             write_batch(done.status, root, "job_status", "crop", batch_id)

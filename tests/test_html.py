@@ -1,6 +1,7 @@
 """Article text and chart links on hand-written pages."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def anchor(href, title, css=LINK):
 def links_of(spark, page, **options):
     parsed = chart_links(spark.createDataFrame([("p", page)], "id string, html string"), **options)
     return parsed, parsed.select(
-        capped_links(news_links(F.col("links"))).alias("links"), "org"
+        capped_links(news_links(F.col("links")), 5).alias("links"), "org"
     ).head()
 
 
@@ -125,5 +126,13 @@ def test_capped_links_equal_brute_force(spark):
         expected.append(list(merged.values()))
     rows = spark.createDataFrame(
         list(enumerate(pages)), "i int, links array<struct<pos:int,href:string,title:string>>")
-    found = rows.select("i", capped_links(F.col("links")).alias("links")).orderBy("i").collect()
+    found = rows.select("i", capped_links(F.col("links"), 5).alias("links")).orderBy("i").collect()
     assert [[tuple(link) for link in r.links] for r in found] == expected
+
+
+@pytest.mark.parametrize("part", ["<br>", "<p>", "<br></p>", "<i></b>"])
+def test_two_megabytes_of_tags_are_read_in_time(part):
+    page = "<main>" + part * (2_000_000 // len(part)) + "end</main>"
+    start = time.process_time()
+    assert root_text(page, "main") == "end"
+    assert time.process_time() - start < 20

@@ -275,3 +275,15 @@ def test_cards_fill_missing_values(spark):
     assert (shown.ticker, shown.insight, shown.polarity, shown.heading) == (
         "N/A", "N/A", "N/A", "Insight 1: why",
     )
+
+
+@pytest.mark.parametrize("seq", [1 << 44, 1 << 45, -(1 << 44)])
+def test_child_seq_refuses_a_seq_it_has_no_room_for(spark, seq):
+    df = spark.createDataFrame([(seq, 1)], "seq long, pos int")
+    with pytest.raises(Exception, match="out of range"):
+        df.select(records.child_seq(F.col("seq"), F.col("pos"))).collect()
+
+
+def test_every_heavy_key_is_cut_into_slices(spark):
+    left = spark.range(6000).select((F.col("id") % 1500).alias("k"), "id")
+    assert heavy_keys(left, ["k"], 2).count() == 1500

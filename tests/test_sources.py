@@ -104,3 +104,10 @@ def test_current_articles_apply_the_update_log(spark):
     assert tables.current_articles(articles, log).count() == 2
     marked = tables.current_articles(articles, log, texts=False).collect()
     assert {(r.url, r.content) for r in marked} == {("a", tables.STORED), ("b", "pending")}
+
+
+def test_rejected_messages_keep_text_and_reason(spark):
+    sent = ['{"job_id": "j", "data": "T"}', "{", '{"data": "T"}', None, ""]
+    found = messages.rejected(spark.createDataFrame([(s,) for s in sent], "value string"))
+    assert sorted((r.value or "", r.reason) for r in found.collect()) == [
+        ("", "not JSON"), ("", "not JSON"), ("{", "not JSON"), ('{"data": "T"}', "no job_id")]

@@ -158,7 +158,7 @@ def test_failed_batch_marks_its_jobs(spark, tmp_path, monkeypatch):
     assert [(r.job_id, r.status) for r in status] == [("j", "news crops ready")]
 
 
-def test_once_per_job_drops_repeats_within_the_window(spark, tmp_path):
+def test_once_per_request_drops_repeats_within_the_window(spark, tmp_path):
     folder = tmp_path / "in"
     rows = [("a", 0), ("a", 1), ("b", 2)], [("a", 3), ("c", 4)]
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
@@ -167,6 +167,18 @@ def test_once_per_job_drops_repeats_within_the_window(spark, tmp_path):
             "job_id", F.timestamp_seconds(F.lit(1704067200) + F.col("hour") * 3600).alias("arrived"))
         df.coalesce(1).write.mode("append").parquet(str(folder))
         stream = spark.readStream.schema(df.schema).parquet(str(folder))
-        stages.once_per_job(stream).writeStream.format("parquet").option(
+        stages.once_per_request(stream, ["job_id"]).writeStream.format("parquet").option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     assert sorted(r.job_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_one_job_may_ask_for_two_tickers(spark, tmp_path):
+    folder = tmp_path / "messages"
+    folder.mkdir()
+    lines = ['{"job_id": "j", "data": "A"}', '{"job_id": "j", "data": "B"}'] * 2
+    (folder / "a.json").write_text("\n".join(lines))
+    out = str(tmp_path / "out")
+    stages.crawl_requests(spark, str(folder)).select("job_id", "ticker").writeStream.format(
+        "parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(
+        availableNow=True).start(out).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("j", "A"), ("j", "B")]

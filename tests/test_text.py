@@ -135,7 +135,15 @@ def test_prompts_keep_whole_content_apart_from_the_model_limit(spark):
     asked = values(spark, [long], text.summary_prompt)[0]
     assert long in asked
     found = values(spark, [long], lambda x: text.insight_prompt(
+        F.lit(None).cast("string"), F.lit("T"), F.lit("title"), F.lit(""), x, 8000))[0]
+    whole = values(spark, [long], lambda x: text.insight_prompt(
         F.lit(None).cast("string"), F.lit("T"), F.lit("title"), F.lit(""), x))[0]
+    assert long in whole
     assert "é" * 8000 in found and "é" * 8001 not in found
     assert found.startswith("Company: Not specified\nTicker: T\n")
     assert "Publication Date: Not specified\n" in found
+
+
+def test_years_have_four_digits(spark):
+    texts = ["24-1-5 3:04:05", "12024-01-05 03:04:05", "-5-1-1 1:1:1", "2024-1-5 3:04:05 "]
+    assert values(spark, texts, text.parse_time) == [None] * 4
