@@ -14,6 +14,7 @@ from newsloom.constants import SNAPSHOT_TTL_HOURS
 from newsloom.functions.predicates import expired, needs_summary
 from newsloom.operators.current import first_by, latest_by
 from newsloom.operators.spread import spread_join
+from newsloom.session import materialise
 
 PAIR = ["url", "ticker"]
 
@@ -27,11 +28,13 @@ def request_rows(requests: DataFrame) -> DataFrame:
 def only(table: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``table`` whose key is asked for, taken before anything is aggregated.
 
-    A short list of keys, the usual case, is broadcast and the table is not shuffled. A
-    long one is shuffled as it is: pass ``wanted`` as plain or stored rows, not aggregated
-    on the key, and adaptive execution can split a table partition that one key has filled.
+    The distinct keys are stored first: however often a key is asked for, it travels once per
+    map task and is one row of the join. A short list of keys, the usual case, is broadcast
+    and the table is not shuffled. With a long one both sides come straight from a shuffle,
+    so adaptive execution can split a table partition that one key has filled.
     """
-    return table.join(wanted.select(*keys), list(keys), "left_semi")
+    asked = materialise(wanted.select(*keys).distinct())
+    return table.join(asked, list(keys), "left_semi")
 
 
 def first_articles(

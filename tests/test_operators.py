@@ -110,6 +110,21 @@ def test_no_heavy_key_leaves_an_ordinary_join(spark):
     assert "_slice" not in plan
 
 
+def test_a_key_asked_for_again_and_again_is_one_row_of_the_lookup(spark):
+    table = spark.range(100).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("url"))
+    asked = spark.range(3000).select(
+        F.when(F.col("id") % 3 < 2, "7").otherwise((F.col("id") % 50).cast("string")).alias("url")
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lookups.only(table, asked, ["url"])
+        assert found.count() == 50
+        keys = spark.read.parquet(*found.inputFiles())
+        assert keys.count() == keys.distinct().count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_adaptive_execution_splits_a_heavy_key_of_a_table(spark, tmp_path):
     """``only`` and ``update_fields`` leave both join sides fresh from a shuffle for this."""
     settings = {
