@@ -9,11 +9,16 @@ that repeats itself has little entropy. The measures are
 * ``token_entropy``: entropy of the text's tokens in bits, and from it ``entropy_gap``, what
   it lacks of the most that so many tokens (``LONG`` at most) could have.
 
-Bands are set per language, or per script where the language is null, from the quartiles of
-all documents that pass the base rules: a text is rejected if a measure lies some
-interquartile ranges outside the quartiles, more for short texts (``BANDS``). The ranges have
-a floor, so that a language of much the same texts doesn't reject its own. Few documents
-therefore fall out unless they stand far off the rest of their language.
+Bands are set per language, or per script where the language is null, and per class of
+length, two classes to a doubling of tokens, from the quartiles of all documents that pass the
+base rules: all three measures follow the length of a text, and so does their spread. A text is
+rejected if a measure lies some spreads (``BANDS``) from the median of its class. The spread is
+twice the way from the median to the nearer quartile, since junk stretches one side only. It has
+a floor, so that a class of much the same texts doesn't reject its own, and texts that measure
+the same count once, so that copies don't set the band of the rest. A class with fewer than
+``LEAST`` texts takes the band of a class twice or four times as wide, at last that of the whole
+language, with more room for short texts. Few documents therefore fall out unless they stand far
+off texts of their language and length.
 
 Base rules: fewer than 10 words, or more than 20 % of words in repeated 5-word windows.
 
@@ -35,17 +40,23 @@ WINDOW = 5
 LEAST_WORDS = 10
 LONG = 512
 SLICE_BYTES = 512 << 10
-#: Per measure: interquartile ranges beyond the quartiles, the least range, and whether
-#: short texts get more room, because their means vary more.
+#: Per measure: spreads around the median, the least spread as a part that shrinks with the root
+#: of the tokens and one that doesn't, and whether the band of a whole language gives short texts
+#: more room, because their means vary more.
 BANDS = {
-    "chars_per_token": (3.0, 0.05, True),
-    "byte_share": (3.0, 0.01, True),
-    "entropy_gap": (1.25, 0.25, False),
+    "chars_per_token": (4.0, 0.5, 0.005, True),
+    "byte_share": (5.0, 0.12, 0.001, True),
+    "entropy_gap": (1.75, 2.0, 0.05, False),
 }
 #: Too little of these is no fault.
 ONE_SIDED = ("byte_share", "entropy_gap")
-#: A text of so many tokens gets root two of the room of a very long one.
+#: In the band of a whole language, a text of so many tokens gets root two of the room of a very
+#: long one.
 STEADY = 1000.0
+#: So many texts that differ in their measures make a band.
+LEAST = 50
+#: Classes of length are halved in number so often to find them; the last holds all lengths.
+HALVINGS = (0, 1, 2, 7)
 MEASURES = T.StructType([
     *[T.StructField(name, T.LongType()) for name in
       ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")],
@@ -173,33 +184,58 @@ def group_of(lang_col: str = "lang") -> Column:
     return F.coalesce(F.concat(F.lit("lang "), lang_col), F.concat(F.lit("script "), "script"))
 
 
+def length_class() -> Column:
+    """Two classes to a doubling of tokens; halving the number gives a class twice as wide."""
+    return F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
+
+
 def bands(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Per language or script the band of each measure, from all rows that pass the base."""
-    quartiles = [
-        F.percentile_approx(name, [0.25, 0.75], 10000).alias(name) for name in BANDS
-    ]
-    found = measured.filter(~base_failed()).groupBy(group_of(lang_col).alias("band_of")).agg(*quartiles)
-    limits = []
-    for name, (width, floor, _) in BANDS.items():
-        low, high = F.col(name)[0], F.col(name)[1]
-        margin = width * F.greatest(high - low, F.lit(floor))
-        limits += [low.alias(f"low_{name}"), high.alias(f"high_{name}"),
-                   margin.alias(f"margin_{name}")]
-    return found.select("band_of", *limits)
+    """Per language or script and class of length the median and spread of each measure.
+
+    From all rows that pass the base. Few rows, stored, so that joins can broadcast them.
+    """
+    texts = measured.filter(~base_failed()).select(
+        group_of(lang_col).alias("band_of"), length_class().alias("band_class"), "n_tokens", *BANDS
+    ).distinct().drop("n_tokens")
+    wider = F.explode(F.array(*[
+        F.struct(F.lit(times).alias("halved"), F.shiftright("band_class", times).alias("wide"))
+        for times in HALVINGS
+    ]))
+    found = materialise(
+        texts.select("*", wider.alias("w")).groupBy("band_of", "w.halved", "w.wide").agg(
+            F.count(F.lit(1)).alias("texts"),
+            *[F.percentile_approx(name, [0.25, 0.5, 0.75], 10000).alias(name) for name in BANDS],
+        )
+    )
+    spreads = []
+    for name in BANDS:
+        low, middle, high = (F.col(name)[i] for i in range(3))
+        spreads += [middle.alias(f"middle_{name}"),
+                    (2 * F.least(middle - low, high - middle)).alias(f"spread_{name}")]
+    enough = found.filter((F.col("texts") >= LEAST) | (F.col("halved") == HALVINGS[-1])).select(
+        "band_of", "halved", "wide", *spreads)
+    classes = found.filter(F.col("halved") == 0).select("band_of", F.col("wide").alias("band_class"))
+    finest = classes.select("*", wider.alias("w")).select("band_of", "band_class", "w.*").join(
+        enough, ["band_of", "halved", "wide"]
+    ).groupBy("band_of", "band_class").agg(F.min(F.struct("halved", *enough.columns[3:])).alias("b"))
+    return materialise(finest.select("band_of", "band_class", "b.*"))
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``measured`` with base_failed and kept."""
     within = ~base_failed()
-    for name, (_, _, widened) in BANDS.items():
-        room = F.col(f"margin_{name}")
+    tokens = F.greatest("n_tokens", F.lit(1))
+    for name, (width, by_root, floor, widened) in BANDS.items():
+        room = width * F.greatest(F.col(f"spread_{name}"), by_root / F.sqrt(tokens) + floor)
         if widened:
-            room = room * F.sqrt(1 + STEADY / F.greatest("n_tokens", F.lit(1)))
-        within = within & (F.col(name) <= F.col(f"high_{name}") + room)
+            room = room * F.when(F.col("halved") == HALVINGS[-1], F.sqrt(1 + STEADY / tokens)).otherwise(1.0)
+        within = within & (F.col(name) <= F.col(f"middle_{name}") + room)
         if name not in ONE_SIDED:
-            within = within & (F.col(name) >= F.col(f"low_{name}") - room)
+            within = within & (F.col(name) >= F.col(f"middle_{name}") - room)
     kept = measured.columns
-    return measured.withColumn("band_of", group_of(lang_col)).join(limits, "band_of", "left").select(
+    return measured.withColumns({"band_of": group_of(lang_col), "band_class": length_class()}).join(
+        limits, ["band_of", "band_class"], "left"
+    ).select(
         *kept, base_failed().alias("base_failed"),
         F.coalesce(within, ~base_failed()).alias("kept"),
     )
@@ -207,6 +243,6 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang") -> Dat
 
 def keep_good(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns they had."""
-    moved, restored = aside(docs, [*MEASURES.names, "base_failed", "kept", "band_of"])
+    moved, restored = aside(docs, [*MEASURES.names, "base_failed", "kept", "band_of", "band_class", "halved"])
     measured = materialise(measure(moved, vocabulary, text_col, lang_col))
     return restored(judge(measured, bands(measured, lang_col), lang_col).filter("kept"))

@@ -115,6 +115,33 @@ def test_quality_measures(docs, small, empty):
     assert quality_rules.keep_good(empty, vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_quality_bands_follow_length(spark):
+    """Planted junk, short and long, falls out, and clean texts of its language stay."""
+    import random
+
+    random.seed(3)
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'en' and doc_id < 3000")
+    rows = table.select("doc_id", "text", "lang").collect()
+    rows = [r for r in rows if r.text and not re.search(r"[#*$%&|<>]{2}| [|] ", r.text)]
+    clean = [r for r in rows if len(WORD.findall(r.text)) >= 60]
+    planted = {"short": [], "long": []}
+    for i, r in enumerate(clean[:40]):
+        words = WORD.findall(r.text)
+        words = random.sample(words, 60) if i % 2 else words
+        mark = "{} |" if i % 4 < 2 else "{}***"
+        text = " ".join(mark.format(w) if random.random() < 0.9 else w for w in words)
+        planted["short" if i % 2 else "long"].append((-1 - i, text, "en"))
+    table = [*map(tuple, rows), *planted["short"], *planted["long"]]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    measured = quality_rules.measure(docs, vocabulary("piece_bpe_32k.model")).cache()
+    judged = quality_rules.judge(measured, quality_rules.bands(measured)).filter("not base_failed").collect()
+    kept = {r.doc_id for r in judged if r.kept}
+    for name, junk in planted.items():
+        assert len(kept & {i for i, _, _ in junk}) <= len(junk) // 10, name
+    clean_ids = {r.doc_id for r in clean} & {r.doc_id for r in judged}
+    assert len(kept & clean_ids) >= 0.98 * len(clean_ids)
+
+
 def test_sharding(docs, empty, spark):
     hot = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', cast(id as string)) as text")
     for rows in (hot, docs):
