@@ -260,6 +260,16 @@ def test_ngram_join_of_awkward_rows(docs, empty):
     assert ngram_join.join_documents(empty).count() == 0
 
 
+def test_ngram_join_of_an_id_with_several_texts(spark):
+    """All rows of an id, and what shares a text with one of them, are one component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (4, c), (9, c), (5, "alone"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.join_documents(df).collect()}
+    assert got == {(3, 3), (7, 3), (9, 3), (4, 3), (5, 5), (8, 8)}
+    assert {r.doc_id for r in ngram_join.keep_one_of_each(df).collect()} == {3, 5, 8}
+
+
 @pytest.mark.parametrize("boundary", [0, 10])
 def test_ngram_join_equals_all_pairs(spark, monkeypatch, boundary):
     """Light and heavy sets alike, with the cost's choice replaced."""
