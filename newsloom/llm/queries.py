@@ -5,10 +5,11 @@ from __future__ import annotations
 import string
 
 from public_tokenizers import path as vocabulary
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
-    chat_format, exact_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_counts, url_filters,
+    chat_format, exact_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, sharding,
+    token_counts, url_filters,
 )
 from newsloom.llm.common import text_or_empty
 from newsloom.session import materialise, scratch_folder
@@ -96,6 +97,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, against claims about texts that lost their line ends."""
+    def leaf(text: Column) -> Column:
+        return merkle.leaf_of([*map(F.col, ("doc_id", "source", "lang", "n_chars")), text])
+
+    text = F.col("text")
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains(text, F.lit("\n"))
+    claimed = F.when(tampered, leaf(F.replace(text, F.lit("\n"), F.lit("")))).otherwise(leaf(text))
+    proved = merkle.manifest(read(spark, sf_dir, "documents"), leaf(text), claimed)
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+        "folded_root", "verified",
+    )
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -107,6 +123,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -262,10 +279,86 @@ NGRAM_SQL = rf"""
     join (select u as doc_id, min(v) as component_id from reached group by u) using (doc_id)
 """
 
+def crc32_sql(number: str) -> str:
+    """The CRC-32 of a number's decimal digits, unsigned, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(
+        string_split({number}::varchar, ''), lambda c: ascii(c)::bigint)), lambda crc, byte:
+        list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, bit:
+            xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))))"""
+
+
+MERKLE_SQL = rf"""
+    with recursive fields as (
+        select doc_id, source, text,
+            concat(
+                coalesce(concat(strlen(doc_id::varchar), ':', doc_id), '-'),
+                coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) as head
+        from documents
+    ), leaves as (
+        select doc_id, source,
+            sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+            case when crc32_mod2 = 0 then sha256(head || coalesce(
+                strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) end as claimed
+        from (select *, {crc32_sql("doc_id")} % 2 as crc32_mod2 from fields)
+    ), numbered as (
+        select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+            count(*) over (partition by source) as n
+        from leaves
+    ), within as (
+        select source, 0 as level, pos, n, leaf as digest from numbered
+        union all
+        select source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by pos))
+        from within where n > 1 group by source, level, pos // 3, n
+    ), subroots as (
+        select source, digest as subroot, level as height,
+            row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n
+        from within where n = 1
+    ), across as (
+        select 0 as level, pos, n, subroot as digest from subroots
+        union all
+        select level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by pos))
+        from across where n > 1 group by level, pos // 3, n
+    ), way as (
+        select numbered.doc_id, numbered.source, leaf, claimed, numbered.pos, height,
+            subroots.pos as source_pos, subroot
+        from numbered join subroots on numbered.source is not distinct from subroots.source
+    ), siblings as (
+        select doc_id, leaf, w.level, w.pos, w.pos < way.pos // (3 ** w.level)::bigint as is_left, digest
+        from way join within w on way.source is not distinct from w.source and w.n > 1
+            and w.pos // 3 = way.pos // (3 ** (w.level + 1))::bigint
+            and w.pos <> way.pos // (3 ** w.level)::bigint
+        union all
+        select doc_id, leaf, height + a.level, a.pos, a.pos < source_pos // (3 ** a.level)::bigint, digest
+        from way join across a on a.n > 1
+            and a.pos // 3 = source_pos // (3 ** (a.level + 1))::bigint
+            and a.pos <> source_pos // (3 ** a.level)::bigint
+    ), proofs as (
+        select doc_id, string_agg(digest, '' order by level, pos) as proof from siblings group by doc_id
+    ), runs as (
+        select doc_id, level, coalesce(string_agg(digest, '' order by pos) filter (is_left), '') as before,
+            coalesce(string_agg(digest, '' order by pos) filter (not is_left), '') as after
+        from siblings group by doc_id, level
+    ), top as (
+        select (select max(level) from across) as levels, (select digest from across where n = 1) as root
+    ), folded as (
+        select doc_id, 0 as level, height + levels as last, coalesce(claimed, leaf) as digest from way, top
+        union all
+        select f.doc_id, f.level + 1, last, sha256(coalesce(before, '') || digest || coalesce(after, ''))
+        from folded f left join runs on runs.doc_id = f.doc_id and runs.level = f.level
+        where f.level < last
+    )
+    select way.doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) as proof_sha256,
+        digest as folded_root, digest = root as verified
+    from way, top, folded left join proofs using (doc_id)
+    where folded.doc_id = way.doc_id and folded.level = last
+"""
+
 ORACLE = {
     "op1_url_filters": URL_SQL,
     "op5_exact_dedup": DEDUP_SQL,
     "op7_chat_format": CHAT_SQL,
     "op8_mixing": MIX_SQL,
     "op10_ngram_join": NGRAM_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
