@@ -8,8 +8,8 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
-    chat_format, exact_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, sharding,
-    token_counts, url_filters,
+    chat_format, exact_dedup, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality_rules,
+    sharding, token_counts, url_filters,
 )
 from newsloom.llm.common import text_or_empty
 from newsloom.session import materialise, scratch_folder
@@ -112,6 +112,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        "ends_sha256",
+    )
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -124,6 +132,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -354,6 +363,51 @@ MERKLE_SQL = rf"""
     where folded.doc_id = way.doc_id and folded.level = last
 """
 
+TRIE_SQL = rf"""
+    with turns as (
+        select conv_id, text, sha256(concat(strlen(role), ':', role, text)) as said,
+            row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place
+        from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+              from conversations where conv_id is not null)
+    ), sizes as (
+        select conv_id, count(*) as n, {crc32_sql("conv_id")} % 6 as h, conv_id - conv_id % 100 as base
+        from turns group by conv_id
+    ), plans as (
+        select s.conv_id, s.base, s.h, least(s.h, coalesce(b.n, 0)) as head
+        from sizes s left join sizes b on b.conv_id = s.base
+    ), rebuilt as (
+        select plans.conv_id, place + 1 as depth, said, text
+        from plans join turns on turns.conv_id = base and place < head
+        union all
+        select conv_id, place - h + head + 1, said, text from plans join turns using (conv_id) where place >= h
+    ), paths as (
+        select conv_id, depth, length(text) as chars,
+            string_agg(said, '') over (partition by conv_id order by depth) as path
+        from rebuilt
+        union all
+        select conv_id, 0, 0, '' from plans
+    ), nodes as (
+        select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars
+        from paths group by path, depth
+    ), kids as (
+        select left(path, 64 * (depth - 1)::int) as path, count(*) as n
+        from nodes where depth > 0 group by all
+    ), shaped as (
+        select nodes.*, coalesce(n, 0) as n_children from nodes left join kids using (path)
+    ), below as (
+        select a.path, count(*) filter (b.n_children = 0) as n_leaves,
+            sum((b.n_convs - 1) * b.chars) as saved_tokens
+        from shaped a join shaped b on starts_with(b.path, a.path) group by a.path
+    ), ends as (
+        select path, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+        from (select conv_id, max(path) as path from paths group by conv_id) group by path
+    )
+    select s.conv_id, s.depth::bigint as depth, up.conv_id as parent_conv_id, s.n_convs,
+        s.n_children, n_leaves, saved_tokens::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+    from shaped s join below using (path) left join ends using (path)
+    left join nodes up on s.depth > 0 and up.path = left(s.path, 64 * (s.depth - 1)::int)
+"""
+
 ORACLE = {
     "op1_url_filters": URL_SQL,
     "op5_exact_dedup": DEDUP_SQL,
@@ -361,4 +415,5 @@ ORACLE = {
     "op8_mixing": MIX_SQL,
     "op10_ngram_join": NGRAM_SQL,
     "op12_merkle_manifest": MERKLE_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
