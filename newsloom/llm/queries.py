@@ -8,8 +8,8 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
-    chat_format, exact_dedup, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality_rules,
-    sharding, token_counts, url_filters,
+    chat_format, exact_dedup, merkle, mixing, ngram_join, packing, pii, prefix_trie,
+    quality_classifier, quality_rules, sharding, token_counts, url_filters,
 )
 from newsloom.llm.common import text_or_empty
 from newsloom.session import materialise, scratch_folder
@@ -97,6 +97,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four fifths of the labels and scores all documents."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    good = F.col("score") >= quality_classifier.THRESHOLD
+    return quality_classifier.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", good.cast("int").alias("predicted")
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, against claims about texts that lost their line ends."""
     def leaf(text: Column) -> Column:
@@ -131,6 +142,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_prefix_trie": op13_prefix_trie,
 }
