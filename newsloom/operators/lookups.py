@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.constants import SNAPSHOT_TTL_HOURS
+from newsloom.constants import KEY_FOLDERS, SNAPSHOT_TTL_HOURS
 from newsloom.functions.predicates import expired, needs_summary
 from newsloom.operators.current import first_by, latest_by
 from newsloom.operators.spread import spread_join
@@ -32,9 +34,31 @@ def only(table: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     map task and is one row of the join. A short list of keys, the usual case, is broadcast
     and the table is not shuffled. With a long one both sides come straight from a shuffle,
     so adaptive execution can split a table partition that one key has filled.
+
+    Where the table lies in folders by a key, or by a key's hash (``key_folder``), only the
+    folders of asked keys are read. Spark prunes at run time if the other side is filtered,
+    so the stored keys are: by a comparison that holds for all but nulls, which match nothing.
     """
     asked = materialise(wanted.select(*keys).distinct())
-    return table.join(asked, list(keys), "left_semi")
+    given = asked.filter(reduce(and_, (F.col(key).cast("string") >= "" for key in keys)))
+    named = {folder_of(key): key_folder(F.col(key)) for key in keys if folder_of(key) in table.columns}
+    found = table.join(given.withColumns(named), [*keys, *named], "left_semi")
+    return found.drop(*[name for name in table.columns if name.endswith("_folder")])
+
+
+def folder_of(key: str) -> str:
+    """Name of the column that says in which folder the rows of a key are."""
+    return f"{key}_folder"
+
+
+def key_folder(key: Column) -> Column:
+    """Number of the folder of a key's rows; changing it means writing tables anew."""
+    return F.pmod(F.xxhash64(key), F.lit(KEY_FOLDERS)).cast("int")
+
+
+def narrowed(table: DataFrame, *columns: str | Column) -> DataFrame:
+    """Some columns of a table, and what says where its rows are."""
+    return table.select(*columns, *[name for name in table.columns if name.endswith("_folder")])
 
 
 def first_articles(
@@ -57,14 +81,14 @@ def latest_articles(
 
 def pending_urls(requested: DataFrame, articles: DataFrame) -> DataFrame:
     """Requested urls whose first inserted article still waits for its summary."""
-    narrow = articles.select("seq", "url", needs_summary(F.col("content")).alias("waiting"))
+    narrow = narrowed(articles, "seq", "url", needs_summary(F.col("content")).alias("waiting"))
     found = first_articles(requested, narrow, columns=["waiting"])
     return found.filter("waiting").select("url")
 
 
 def known_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """Distinct (url, ticker) among ``pairs`` that have a fragment."""
-    return only(fragments.select(*PAIR), pairs, PAIR).distinct()
+    return only(narrowed(fragments, *PAIR), pairs, PAIR).distinct()
 
 
 def fragment_exists(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -86,7 +110,7 @@ def new_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
 
 def known_urls(links: DataFrame, articles: DataFrame) -> DataFrame:
     """Distinct urls among ``links`` that an article has."""
-    return only(articles.select("url"), links, ["url"]).distinct()
+    return only(narrowed(articles, "url"), links, ["url"]).distinct()
 
 
 def new_links(links: DataFrame, articles: DataFrame) -> DataFrame:
@@ -96,7 +120,7 @@ def new_links(links: DataFrame, articles: DataFrame) -> DataFrame:
 
 def attach_pages(links: DataFrame, news_pages: DataFrame) -> DataFrame:
     """``links`` (one row per url) with the path of the newest landed page of the url."""
-    pages = only(news_pages.select("url", "path", "downloaded_at"), links, ["url"])
+    pages = only(narrowed(news_pages, "url", "path", "downloaded_at"), links, ["url"])
     newest = pages.groupBy("url").agg(
         F.max_by("path", F.struct("downloaded_at", "path")).alias("file_path")
     )
