@@ -406,3 +406,43 @@ ORACLE["stream_unique_jobs"] = ORACLE["job_ids"]
 ORACLE["stream_ingest"] = ORACLE["ingest_articles"]
 ORACLE["stream_summaries"] = ORACLE["summarise_updates"]
 ORACLE["stream_insights"] = ORACLE["insights_fragments"]
+ORACLE["answer_ledger"] = _with("requests articles fragments", f"""+{INSIGHT_ROWS}, jobs as (
+        select r.job_id, min(r.seq) as seq, count(*) as wanted, count(f.url) as stored,
+            count(*) filter (f.url is null and n is null) as no_content, count(n) as questions,
+            count(*) filter (n % 5 in (1, 3, 4)) as answered, count(*) filter (n % 5 = 0) as no_relation,
+            count(*) filter (n % 5 = 2) as failed
+        from requests r left join (select distinct url, ticker from fragments) f using (url, ticker)
+        left join answered a on a.url = r.url and a.ticker = r.ticker group by r.job_id)
+    select cast(run as integer) as run, * exclude (run, questions),
+        case run when 1 then questions when 2 then 0 else failed end as asked,
+        case run when 1 then 0 when 2 then questions else questions - failed end as reused
+    from jobs, range(1, 4) runs(run)""")
+ORACLE["annotate_failures"] = """
+    select doc_id, source, case when doc_id % 7 > 0 then concat('System ', lang, ' ', doc_id) end as answer
+    from documents"""
+ORACLE["annotate_broken_batches"] = ORACLE["annotate_failures"]
+ORACLE["stream_rejects"] = f"select value, reason, {AS_OF} as time from ({ORACLE['rejected_messages']})"
+ORACLE["landed_pages"] = _with("landed", """+named as (
+        select *, page_id % 11 <> 10 as usual, case when page_id % 2 = 0 then 'chart' else 'news' end as sort
+        from landed)
+    select case when usual then concat('/raw/', ticker, '/', ticker, case when sort = 'news' then '_news' else '' end,
+            '_TM_', strftime(downloaded_at, '%Y-%m-%d_T_%H-%M-%S'), '.html')
+            else concat('/raw/notes ', page_id) end as path,
+        case when usual then ticker end as ticker, case when usual then sort end as kind,
+        case when usual then downloaded_at end as downloaded_at, md5(concat(html, chr(10))) as html_md5
+    from named""")
+ORACLE["chart_organisations"] = """
+    select doc_id as page_id, case when doc_id % 3 > 0 then concat('Org & ', lang) end as org from documents"""
+ORACLE["chart_news"] = f"""
+    with orgs as ({ORACLE['chart_organisations']}), words as (
+        select doc_id as page_id, concat('{views.NEWS}', source, '/', doc_id) as word, source from documents)
+    select page_id, org, pos, href, title from orgs join (
+        select page_id, 0::bigint as pos, word as href, concat('Again ', source) as title from words
+        union all select page_id, 1, concat(word, '/b'), 'Second' from words) using (page_id)"""
+ORACLE["main_text"] = f"""
+    with whole as (
+        select doc_id as page_id, concat(source, ' says ', lang, ' ', doc_id, chr(10), 'A first paragraph', chr(10),
+            'goes on', chr(10), 'short', chr(10),
+            case when doc_id % 2 = 0 then '' else 'The last paragraph' end) as text from documents),
+    flowed as (select page_id, {_reflowed('text')} as f from whole)
+    select page_id, cast(length(f) as integer) as n, md5(f) as text_md5 from flowed"""

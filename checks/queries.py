@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import rules, views
 from newsloom.constants import INSIGHT_INPUT_CHARS, LINKS_PER_PAGE
@@ -12,6 +12,8 @@ from newsloom.functions import insight, predicates, text
 from newsloom.functions.links import capped_links, news_links
 from newsloom.functions.status import job_failed, news_ready, status_class, summaries_ready
 from newsloom.operators import current, jobs, lookups, records, reports
+from newsloom import schemas
+from newsloom.plans.annotate import annotate, one_by_one
 from newsloom.plans.ingest import ChartLayout, Ingested, ingest
 from newsloom.plans.insights import extract_insights
 from newsloom.plans.read import job_cards
@@ -417,6 +419,25 @@ def links_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def chart_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of chart pages in the default layout: news anchors of one class, titles from the
+    attribute, next to others that are no news."""
+    parsed = html.chart_links(views.chart_pages(spark, sf_dir))
+    kept = parsed.select("page_id", "org", capped_links(news_links(F.col("links")), LINKS_PER_PAGE).alias("links"))
+    return html.link_rows(kept).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def chart_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The organisation each chart page names, NULL where it names none."""
+    return html.chart_links(views.chart_pages(spark, sf_dir)).select("page_id", "org")
+
+
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the main element, between scripts, styles and comments."""
+    read = html.article_text(views.main_pages(spark, sf_dir))
+    return read.select("page_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
 def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = html.article_text(
         views.table(spark, sf_dir, "pages").select("page_id", "html"), root="article"
@@ -474,6 +495,37 @@ def insights_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _insights(spark, sf_dir).status
 
 
+def answer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each job's pairs: asked at first, once more without and with a second try
+    of what failed. The second run asks nothing, the third only what failed."""
+    def run(ledger: DataFrame, retry_failed: bool):
+        return extract_insights(
+            views.requests(spark, sf_dir), views.articles(spark, sf_dir),
+            views.fragments(spark, sf_dir), "Extract.", rules.insight_rule, views.RUN_AT,
+            ledger=ledger, retry_failed=retry_failed, waves=2,
+        )
+
+    first = run(spark.createDataFrame([], schemas.ANSWERS), False)
+    ledger = materialise(first.entries)
+    runs = [first.counts, run(ledger, False).counts, run(ledger, True).counts]
+    numbered = [counts.withColumn("run", F.lit(i + 1)) for i, counts in enumerate(runs)]
+    return numbered[0].unionByName(numbered[1]).unionByName(numbered[2])
+
+
+def annotate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions one by one to a model that fails on some: each loses its own answer only."""
+    questions = views.table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.concat("lang", F.lit(" "), F.col("doc_id").cast("string")).alias("user_prompt"))
+    return annotate(questions, one_by_one(rules.brittle_model, 2), "System", ["doc_id"])
+
+
+def annotate_broken_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a model for whole batches that fails on a batch if one question is bad."""
+    questions = views.table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.concat("lang", F.lit(" "), F.col("doc_id").cast("string")).alias("user_prompt"))
+    return annotate(questions, rules.brittle_batches, "System", ["doc_id"])
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> Ingested:
     return ingest(
         views.crawls(spark, sf_dir), views.snapshots(spark, sf_dir),
@@ -557,7 +609,7 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("job_id string, ticker string").parquet(f"{root}/requests")
 
 
-def rejected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the messages is broken JSON, a third names no job."""
     kind, kept = F.col("event_id") % 3, F.col("event_type")
     value = (
@@ -565,17 +617,64 @@ def rejected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit('{"data":"'), kept, F.lit('"}')))
         .otherwise(F.concat(F.lit('{"job_id":"j","data":"'), kept, F.lit('"}')))
     )
-    events = views.table(spark, sf_dir, "events")
-    return messages.rejected(events.select("event_id", value.alias("value")))
+    return views.table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+
+def rejected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.rejected(_mixed_messages(spark, sf_dir))
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page files through the landing stream, two thirds of them first; after a restart all of them
+    once more from another folder. Each is read once."""
+    root = scratch_folder(spark)
+    named = views.page_files(spark, sf_dir)
+
+    def land(files: DataFrame, n: int) -> None:
+        files.write.partitionBy("page").option("maxRecordsPerFile", 1).text(f"{root}/files/{n}")
+        stages.start_landing(
+            spark, f"{root}/files/*/*/*", f"{root}/pages", f"{root}/checkpoint", views.decoded_names,
+        ).awaitTermination()
+
+    land(named.filter("page_id % 3 < 2").select("html", "page"), 0)
+    land(named.select("html", "page"), 1)
+    return pages.read_landed(spark, f"{root}/pages").select(
+        "path", "ticker", "kind", "downloaded_at", F.md5("html").alias("html_md5"))
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that the first stage left out, next to those it took, over several batches."""
+    root = scratch_folder(spark)
+    tables.create_tables(spark, root)
+    _mixed_messages(spark, sf_dir).select("value").repartition(3).write.text(f"{root}/messages")
+    stages.start_ingest(
+        spark, f"{root}/messages", root, f"{root}/checkpoint",
+        lambda session: views.news_pages(session, sf_dir),
+        lambda session: views.word_pages(session, sf_dir),
+        PAGE_LAYOUT, MONTH, clock=lambda: views.AS_OF, max_files=1,
+    ).awaitTermination()
+    return tables.read_table(spark, root, "rejected").select("value", "reason", "time")
 
 
 def _added(spark: SparkSession, root: str, table: str, stage: str) -> DataFrame:
     rows = spark.read.schema(tables.stored_schema(table)).parquet(f"{root}/{table}")
-    return rows.filter(F.col("stage") == stage).drop("stage", "batch")
+    return rows.filter(F.col("stage") == stage).select(*tables.TABLES[table].names)
+
+
+def _in_three(rows: DataFrame, write, run) -> None:
+    """Two files and, after a restart, a third, each a batch of its own; a later one has later rows."""
+    part = F.ntile(3).over(Window.orderBy("seq"))
+    cut = materialise(rows.select("seq").withColumn("part", part).groupBy("part").agg(F.max("seq").alias("last")))
+    first, second = (r["last"] for r in cut.orderBy("part").limit(2).collect())
+    write(rows.filter(F.col("seq") <= first).coalesce(1), 1)
+    write(rows.filter((F.col("seq") > first) & (F.col("seq") <= second)).coalesce(1), 2)
+    run()
+    write(rows.filter(F.col("seq") > second).coalesce(1), 3)
+    run()
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 1 as a stream over request messages; the articles it adds."""
+    """Stage 1 as a stream over request messages, in batches with a restart; the articles it adds."""
     root = scratch_folder(spark)
     tables.create_tables(spark, root)
     stored = records.new_articles(
@@ -583,42 +682,57 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tables.write_batch(stored, root, "articles", "start", 1)
     tables.write_batch(views.snapshots(spark, sf_dir), root, "snapshots", "start", 1)
-    messages.encode_crawl(views.crawls(spark, sf_dir)).write.text(f"{root}/messages")
-    stages.start_ingest(
-        spark, f"{root}/messages", root, f"{root}/checkpoint",
-        lambda session: views.news_pages(session, sf_dir),
-        lambda session: views.word_pages(session, sf_dir),
-        PAGE_LAYOUT, MONTH, clock=lambda: views.AS_OF,
-    ).awaitTermination()
+
+    def run() -> None:
+        stages.start_ingest(
+            spark, f"{root}/messages/*", root, f"{root}/checkpoint",
+            lambda session: views.news_pages(session, sf_dir),
+            lambda session: views.word_pages(session, sf_dir),
+            PAGE_LAYOUT, MONTH, clock=lambda: views.AS_OF, max_files=1,
+        ).awaitTermination()
+
+    _in_three(
+        views.crawls(spark, sf_dir),
+        lambda rows, n: messages.encode_crawl(rows).write.text(f"{root}/messages/{n}"), run)
     return _added(spark, root, "articles", "crawl")
 
 
 def stream_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 2 as a stream over stage requests; the updates it logs."""
+    """Stage 2 as a stream over stage requests, in batches with a restart; the updates it logs."""
     root = scratch_folder(spark)
     tables.create_tables(spark, root)
     tables.write_batch(views.page_articles(spark, sf_dir), root, "articles", "start", 1)
-    tables.write_batch(views.page_requests(spark, sf_dir), root, "summary_requests", "start", 1)
-    stages.start_summaries(
-        spark, root, f"{root}/checkpoint", lambda session: views.news_pages(session, sf_dir),
-        "Summarise.", rules.summary_rule, "article", clock=lambda: views.RUN_AT,
-    ).awaitTermination()
+
+    def run() -> None:
+        stages.start_summaries(
+            spark, root, f"{root}/checkpoint", lambda session: views.news_pages(session, sf_dir),
+            "Summarise.", rules.summary_rule, "article", clock=lambda: views.RUN_AT, max_files=1,
+        ).awaitTermination()
+
+    _in_three(
+        views.page_requests(spark, sf_dir),
+        lambda rows, n: tables.write_batch(rows, root, "summary_requests", "start", n), run)
     return _added(spark, root, "article_updates", "summary").select(
         "url", F.md5("content").alias("content_md5"), "summary", "publish_date"
     )
 
 
 def stream_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 3 as a stream over stage requests; the fragments it adds."""
+    """Stage 3 as a stream over stage requests, in batches with a restart; the fragments it adds."""
     root = scratch_folder(spark)
     tables.create_tables(spark, root)
     tables.write_batch(views.articles(spark, sf_dir), root, "articles", "start", 1)
     tables.write_batch(views.fragments(spark, sf_dir), root, "fragments", "start", 1)
-    tables.write_batch(views.requests(spark, sf_dir), root, "crop_requests", "start", 1)
-    stages.start_insights(
-        spark, root, f"{root}/checkpoint", "Extract.", rules.insight_rule,
-        clock=lambda: views.RUN_AT,
-    ).awaitTermination()
+
+    def run() -> None:
+        stages.start_insights(
+            spark, root, f"{root}/checkpoint", "Extract.", rules.insight_rule,
+            clock=lambda: views.RUN_AT, max_files=1,
+        ).awaitTermination()
+
+    _in_three(
+        views.requests(spark, sf_dir),
+        lambda rows, n: tables.write_batch(rows, root, "crop_requests", "start", n), run)
     return _added(spark, root, "fragments", "crop")
 
 
@@ -638,5 +752,7 @@ QUERIES = {
         ingest_requests, ingest_status, read_cards, stream_job_status, stream_unique_jobs,
         stream_requests, rejected_messages,
         stream_ingest, stream_summaries, stream_insights,
+        answer_ledger, annotate_failures, annotate_broken_batches, stream_rejects, landed_pages,
+        chart_news, chart_organisations, main_text,
     )
 }

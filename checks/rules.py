@@ -36,3 +36,15 @@ def insight_rule(batch: pd.DataFrame) -> list[str | None]:
         else:
             answers.append(json.dumps(full))
     return answers
+
+
+def brittle_model(system_prompt: str, user_prompt: str) -> str:
+    """Fails where the number that ends the question is divisible by 7."""
+    number = int(user_prompt.split()[-1])
+    if number % 7 == 0:
+        raise RuntimeError("no answer")
+    return f"{system_prompt} {user_prompt}"
+
+
+def brittle_batches(batch: pd.DataFrame) -> list[str | None]:
+    return [brittle_model(*row) for row in zip(batch["system_prompt"], batch["user_prompt"])]

@@ -10,7 +10,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsloom.constants import LINK_CLASS, ORG_CLASS
 from newsloom.session import configure
+from newsloom.sources.pages import page_path, with_path_fields
 
 AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 RUN_AT = datetime(2024, 2, 1, 0, 0, 0)
@@ -330,6 +332,68 @@ def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NEWS = "https://sg.finance.yahoo.com/news/"
+
+
+def chart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart page per document in the layout that jobs expect: an organisation on two of three,
+    two anchors of the news class, one of another class, one to another site, one without title,
+    and the first once more under another title."""
+    word = F.concat(F.lit(NEWS), "source", F.lit("/"), F.col("doc_id").cast("string"))
+
+    def anchor(link_class: str, href: Column, title: Column) -> Column:
+        return F.concat(F.lit(f'<a class="{link_class}" href="'), href, F.lit('" title="'), title, F.lit('">x</a>'))
+
+    name = F.concat(F.lit(f'<div class="{ORG_CLASS}" title="Org &amp; '), "lang", F.lit('">x</div>'))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(
+            F.lit("<html><body>"), F.when(F.col("doc_id") % 3 > 0, name).otherwise(F.lit("<div>none</div>")),
+            anchor(LINK_CLASS, word, F.concat(F.lit("About "), "lang")),
+            anchor(LINK_CLASS, F.concat(word, F.lit("/b")), F.lit("Second")),
+            anchor("plain", F.concat(word, F.lit("/c")), F.lit("Plain")),
+            anchor(LINK_CLASS, F.lit("https://other.example/news"), F.lit("Elsewhere")),
+            anchor(LINK_CLASS, F.concat(word, F.lit("/d")), F.lit("")),
+            anchor(LINK_CLASS, word, F.concat(F.lit("Again "), "source")),
+            F.lit("</body></html>"),
+        ).alias("html"),
+    )
+
+
+def main_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per document whose main element holds a script, a style and a comment between text."""
+    line = F.concat("source", F.lit(" says "), "lang", F.lit(" "), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(
+            F.lit("<html><head><title>No</title></head><body><p>Before</p><main id='m'><h1>"), line,
+            F.lit("</h1><script>var a = '<p>no</p>';</script><style>p { x: y }</style>"),
+            F.lit("<p>A first paragraph <!-- not this --> goes on</p><p>short</p>"),
+            F.when(F.col("doc_id") % 2 == 0, F.lit("<div>Story continues</div><p>Left out of it</p>"))
+            .otherwise(F.lit("<p>The last paragraph</p>")),
+            F.lit("</main><p>After</p></body></html>"),
+        ).alias("html"),
+    )
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as single files (the writer ends each with a line end): each has its usual name, every
+    eleventh another one."""
+    landed = news_pages(spark, sf_dir)
+    kind = F.when(F.col("page_id") % 2 == 0, "chart").otherwise("news")
+    usual = page_path(F.lit("/raw"), F.col("ticker"), kind, F.col("downloaded_at"))
+    other = F.concat(F.lit("/raw/notes "), F.col("page_id").cast("string"))
+    return landed.withColumn("page_id", F.substring_index("path", "/", -1).cast("bigint")).select(
+        "page_id", "html", F.when(F.col("page_id") % 11 == 10, other).otherwise(usual).alias("page"))
+
+
+def decoded_names(files: DataFrame) -> DataFrame:
+    """Spark's writer has put the page's name, with its signs as numbers, into a folder's name."""
+    name = F.url_decode(F.regexp_extract("path", "/page=([^/]*)/", 1))
+    # Two steps: once for the folder's name and once for the path as a URL.
+    return with_path_fields(files.withColumn("path", F.url_decode(name)))
+
+
 # Two customers ask for one ticker.
 CRAWLS = """
 select c_custkey as seq, concat('job-', cast(c_custkey as varchar)) as job_id,

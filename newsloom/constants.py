@@ -48,6 +48,3 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-
-# Folders by the hash of a key that a deployment's tables are written to.
-KEY_FOLDERS = 256

@@ -12,11 +12,11 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.constants import KEY_FOLDERS, SNAPSHOT_TTL_HOURS
+from newsloom.constants import SNAPSHOT_TTL_HOURS
 from newsloom.functions.predicates import expired, needs_summary
 from newsloom.operators.current import first_by, latest_by
 from newsloom.operators.spread import spread_join
-from newsloom.session import materialise
+from newsloom.session import key_folders, materialise
 
 PAIR = ["url", "ticker"]
 
@@ -41,7 +41,10 @@ def only(table: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     asked = materialise(wanted.select(*keys).distinct())
     given = asked.filter(reduce(and_, (F.col(key).cast("string") >= "" for key in keys)))
-    named = {folder_of(key): key_folder(F.col(key)) for key in keys if folder_of(key) in table.columns}
+    folders = key_folders(table.sparkSession)
+    named = {
+        folder_of(key): key_folder(F.col(key), folders) for key in keys if folder_of(key) in table.columns
+    }
     found = table.join(given.withColumns(named), [*keys, *named], "left_semi")
     return found.drop(*[name for name in table.columns if name.endswith("_folder")])
 
@@ -51,9 +54,8 @@ def folder_of(key: str) -> str:
     return f"{key}_folder"
 
 
-def key_folder(key: Column) -> Column:
-    """Number of the folder of a key's rows; changing it means writing tables anew."""
-    return F.pmod(F.xxhash64(key), F.lit(KEY_FOLDERS)).cast("int")
+def key_folder(key: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
 
 
 def narrowed(table: DataFrame, *columns: str | Column) -> DataFrame:

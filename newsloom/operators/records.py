@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom import schemas
 from newsloom.constants import PENDING
 from newsloom.functions.text import moment, or_default
+from newsloom.operators.lookups import narrowed, only
+from newsloom.session import materialise
 
 ARTICLE_FIELDS = ("content", "summary", "publish_date")
 # Room for the rows one request can add to a table, between its seq and the next.
@@ -111,8 +113,8 @@ def update_report(table: DataFrame, updates: DataFrame, key: str = "url") -> Dat
 
 
 def delete_jobs(status: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The status log without the given jobs."""
-    return status.join(jobs.select("job_id"), "job_id", "left_anti")
+    """The status log without the given jobs, each of which travels once."""
+    return status.join(materialise(jobs.select("job_id").distinct()), "job_id", "left_anti")
 
 
 def deleted_jobs(status: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -123,9 +125,9 @@ def deleted_jobs(status: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def _asked_and_known(table: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    known = table.select(key).join(asked.select(key), key, "left_semi").distinct()
-    flagged = known.withColumn("_known", F.lit(True))
-    return asked.select(key).distinct().join(flagged, key, "left").select(
+    keys = materialise(asked.select(key).distinct())
+    known = only(narrowed(table, key), keys, [key]).distinct()
+    return keys.join(known.withColumn("_known", F.lit(True)), key, "left").select(
         key, F.coalesce("_known", F.lit(False)).alias("_known")
     )
 

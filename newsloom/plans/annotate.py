@@ -40,24 +40,33 @@ def annotate(
     """``questions`` with ``user_prompt`` replaced by ``answer``, NULL where none came.
 
     Every row is one call, so rows should be distinct by ``key``. ``tasks`` bounds how
-    many tasks ask at the same time; rows are spread over them by key.
+    many tasks ask at the same time, by default one per core of the cluster; rows are spread over
+    them by key. Where the annotator fails on a batch, its rows are asked one by one, so that
+    one bad question costs no answer but its own.
     """
-    spread = questions.repartition(tasks, *key) if tasks else questions
+    spread = questions.repartition(tasks or questions.sparkSession.sparkContext.defaultParallelism, *key)
     kept = [name for name in questions.columns if name != "user_prompt"]
     schema = T.StructType(
         [*questions.select(*kept).schema.fields, T.StructField("answer", T.StringType())]
     )
 
+    def attempt(asked: pd.DataFrame) -> list[str | None] | None:
+        try:
+            return list(annotator(asked))
+        except Exception:
+            logging.getLogger(__name__).exception("no answers to %d questions", len(asked))
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             asked = batch.select(["user_prompt"]).to_pandas()
-            try:
-                answers = list(annotator(asked.assign(system_prompt=system_prompt)))
-            except Exception:
-                logging.getLogger(__name__).exception("no answers to %d questions", batch.num_rows)
-                answers = [None] * batch.num_rows
+            asked = asked.assign(system_prompt=system_prompt)
+            answers = attempt(asked)
+            if answers is None:
+                rows = (asked.iloc[i:i + 1].reset_index(drop=True) for i in range(len(asked)))
+                answers = [(attempt(row) or [None])[0] for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(name) for name in kept] + [pa.array(answers, type=pa.string())],
                 names=kept + ["answer"],

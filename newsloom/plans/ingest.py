@@ -12,11 +12,12 @@ from newsloom.constants import LINK_CLASS, NEWS_DOMAIN, ORG_CLASS, SNAPSHOT_TTL_
 from newsloom.functions.links import capped_links, news_links
 from newsloom.functions.predicates import expired
 from newsloom.functions.status import news_ready
-from newsloom.operators.lookups import attach_pages, known_urls, only, snapshot_lookup
+from newsloom.operators.lookups import attach_pages, known_urls, snapshot_lookup
 from newsloom.operators.records import child_seq, new_articles, new_snapshots, new_status
 from newsloom.operators.spread import spread_join
 from newsloom.session import materialise
 from newsloom.sources.html import chart_links
+from newsloom.sources.pages import newest_pages
 
 
 @dataclass(frozen=True)
@@ -62,15 +63,13 @@ def ticker_news(
         "ticker", "seq", F.lit(False).alias("renewed"), "org", stored.alias("links")
     )
     stale = known.filter(is_stale).select("ticker", "seq")
-    newest = only(chart_pages, stale, ["ticker"]).groupBy("ticker").agg(
-        F.max_by("html", F.struct("downloaded_at", "path")).alias("html")
-    )
+    newest = newest_pages(chart_pages, stale, ["ticker"])
     read = chart_links(
         newest, link_class=layout.link_class, org_class=layout.org_class,
         title_attr=layout.title_attr,
     )
     links = capped_links(news_links(F.col("links"), layout.domain), layout.max_links)
-    renewed = read.withColumn("links", links).join(stale, "ticker").select(
+    renewed = read.withColumn("links", links).select(
         "ticker", "seq", F.lit(True).alias("renewed"), "org", "links"
     )
     return fresh.unionByName(renewed)

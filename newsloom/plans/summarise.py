@@ -13,19 +13,22 @@ from newsloom.functions.status import summaries_ready
 from newsloom.functions.text import publish_date_of, summary_of, summary_prompt
 from newsloom.operators.lookups import only, request_rows
 from newsloom.operators.records import child_seq, new_status
-from newsloom.plans.annotate import Annotator, annotate
+from newsloom.plans.annotate import Annotator
+from newsloom.plans.ledger import Store, ask_once
 from newsloom.session import materialise
 from newsloom.sources.html import page_text, readable
-from newsloom.sources.pages import with_path_fields
+from newsloom.sources.pages import newest_pages, with_path_fields
 
 
 @dataclass(frozen=True)
 class Summarised:
-    """Fields to set per url, status events, and the requests handed on unchanged."""
+    """Fields to set per url, status events, the requests handed on unchanged, and new entries
+    of the ledger."""
 
     updates: DataFrame
     status: DataFrame
     requests: DataFrame
+    entries: DataFrame
 
 
 def waiting_files(requested: DataFrame, articles: DataFrame) -> DataFrame:
@@ -58,8 +61,13 @@ def summary_questions(
     if pages_by_ticker:
         keys = ["ticker", "path"]
         waiting = with_path_fields(waiting).select("url", *keys)
-    texts = page_text(pages.select(*keys, "html").join(waiting, keys), root)
-    per_url = texts.filter(F.col("text").isNotNull()).groupBy("url").agg(F.max("text").alias("text"))
+    waiting = materialise(waiting)
+    # Several urls may name one page.
+    paths = waiting.select(*keys).distinct()
+    if "downloaded_at" not in pages.columns:
+        pages = pages.withColumn("downloaded_at", F.lit(None).cast("timestamp_ntz"))
+    texts = page_text(newest_pages(pages, paths, keys), root).filter(F.col("text").isNotNull())
+    per_url = waiting.join(texts, keys)
     return per_url.select("url", readable(F.col("text")).alias("content")).withColumn(
         "user_prompt", summary_prompt(F.col("content"))
     )
@@ -68,21 +76,25 @@ def summary_questions(
 def summarise(
     requests: DataFrame, articles: DataFrame, pages: DataFrame, system_prompt: str,
     annotator: Annotator, as_of: datetime | Column, root: str = "main",
-    tasks: int | None = None, pages_by_ticker: bool = False,
+    tasks: int | None = None, pages_by_ticker: bool = False, ledger: DataFrame | None = None,
+    retry_failed: bool = True, waves: int = 1, store: Store | None = None,
     keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> Summarised:
     """One pass over stage requests (seq, job_id, urls, ticker, org).
 
     Urls wanted by several jobs are asked about once. A url whose question fails stays
-    pending. Apply ``updates`` with ``update_fields``.
+    pending. Apply ``updates`` with ``update_fields``. With a ``ledger`` nothing in it is asked
+    again (``ledger.ask_once``).
     """
     questions = summary_questions(
         request_rows(requests), articles, pages, root, pages_by_ticker
-    )
-    answers = keep(annotate(questions, annotator, system_prompt, ["url"], tasks))
-    updates = answers.filter(F.col("answer").isNotNull()).select(
+    ).withColumn("seq", F.lit(0).cast("bigint"))
+    asked = ask_once(
+        questions, ledger, annotator, system_prompt, as_of, tasks=tasks, retry_failed=retry_failed,
+        waves=waves, store=store, keep=keep)
+    updates = asked.rows.filter(F.col("answer").isNotNull()).select(
         "url", "content", summary_of(F.col("answer")).alias("summary"),
         publish_date_of(F.col("answer")).alias("publish_date"),
     )
     status = requests.select(child_seq(F.col("seq"), F.lit(1)).alias("seq"), "job_id")
-    return Summarised(updates, new_status(status, summaries_ready(), as_of), requests)
+    return Summarised(updates, new_status(status, summaries_ready(), as_of), requests, asked.entries)

@@ -35,3 +35,12 @@ NEWS_PAGES = _table(
     ("path", STRING), ("ticker", STRING), ("downloaded_at", TIME), ("html", STRING), ("url", STRING)
 )
 PROMPTS = _table(("name", STRING), ("version", LONG), ("text", STRING))
+ANSWERS = _table(
+    ("seq", LONG), ("url", STRING), ("ticker", STRING), ("prompt", STRING), ("outcome", STRING),
+    ("answer", STRING), ("time", TIME),
+)
+REJECTED = _table(("file", STRING), ("value", STRING), ("reason", STRING), ("time", TIME))
+JOB_COUNTS = _table(
+    ("seq", LONG), ("job_id", STRING), ("wanted", LONG), ("stored", LONG), ("no_content", LONG),
+    ("asked", LONG), ("reused", LONG), ("answered", LONG), ("no_relation", LONG), ("failed", LONG),
+)

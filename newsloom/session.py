@@ -25,6 +25,7 @@ SETTINGS = {
 }
 
 ROWS_PER_TASK = "newsloom.rowsPerTask"
+KEY_FOLDERS = "newsloom.keyFolders"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,6 +39,15 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK, "1000000"))
 
 
+def key_folders(spark: SparkSession) -> int:
+    """Into how many folders by a key's hash a deployment's tables are cut.
+
+    Set it before the tables are created and leave it: rows are looked for where the same
+    number has put them. A batch of n keys reads about n folders of each table.
+    """
+    return int(spark.conf.get(KEY_FOLDERS, "64"))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is set."""
     context = spark.sparkContext

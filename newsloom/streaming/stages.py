@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.constants import SNAPSHOT_TTL_HOURS
 from newsloom.functions.status import job_failed
+from newsloom.functions.text import moment
 from newsloom.operators.jobs import latest_status
 from newsloom.operators.lookups import request_rows
 from newsloom.operators.records import child_seq, new_status
@@ -23,9 +24,10 @@ from newsloom.plans.ingest import ChartLayout, ingest
 from newsloom.plans.insights import extract_insights
 from newsloom.plans.summarise import summarise
 from newsloom.session import materialise
-from newsloom.sources.messages import decode_crawl
+from newsloom.sources.messages import decode_crawl, rejected
+from newsloom.sources.pages import land_pages, with_path_fields
 from newsloom.sources.tables import (
-    current_articles, current_status, read_table, stored_schema, stream_table, write_batch,
+    bounded, current_articles, current_status, read_table, stored_schema, stream_table, write_batch,
 )
 
 DUPLICATE_WINDOW = "1 day"
@@ -50,15 +52,24 @@ def once_per_request(
     return requests.withWatermark(arrived, within).dropDuplicatesWithinWatermark(list(identity))
 
 
-def crawl_requests(spark: SparkSession, folder: str) -> DataFrame:
+def message_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Stream of the lines of JSON-lines files, with their file and when it was written."""
+    return bounded(spark.readStream, max_files).text(folder).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.unix_seconds("_metadata.file_modification_time").alias("second"),
+    )
+
+
+def crawl_requests(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Stream of (seq, job_id, ticker, arrived) from JSON-lines files.
 
     Messages without a ``seq`` are ordered by the second their file was written in.
     """
-    lines = spark.readStream.text(folder).select(
-        "value", F.unix_seconds("_metadata.file_modification_time").alias("second")
-    )
-    requests = decode_crawl(lines)
+    return _requests_of(message_lines(spark, folder, max_files))
+
+
+def _requests_of(lines: DataFrame) -> DataFrame:
+    requests = decode_crawl(lines.drop("file"))
     by_file = F.col("second") * 1000 + F.pmod(F.xxhash64("job_id", "ticker"), F.lit(1000))
     sent = requests.select(
         F.coalesce("seq", by_file).alias("seq"), "job_id", "ticker",
@@ -68,9 +79,21 @@ def crawl_requests(spark: SparkSession, folder: str) -> DataFrame:
     return once_per_request(sent, ["job_id", "ticker", "sent"]).drop("sent")
 
 
-def stage_requests(spark: SparkSession, root: str, table: str) -> DataFrame:
+def crawl_messages(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """``crawl_requests`` and, in the same batches, the messages that are none.
+
+    The latter have their ``value``, ``file`` and ``reason`` and no request.
+    """
+    lines = message_lines(spark, folder, max_files)
+    left_out = rejected(lines).select("value", "file", "reason", F.current_timestamp().alias("arrived"))
+    return _requests_of(lines).unionByName(left_out, allowMissingColumns=True)
+
+
+def stage_requests(
+    spark: SparkSession, root: str, table: str, max_files: int | None = None
+) -> DataFrame:
     """Stream of (seq, job_id, urls, ticker, org, arrived) that the stage before handed on."""
-    rows = stream_table(spark, root, table).drop("stage", "batch")
+    rows = stream_table(spark, root, table, max_files).drop("stage", "batch")
     return once_per_request(
         rows.withColumn("arrived", F.current_timestamp()), ["job_id", "ticker", "seq"]
     )
@@ -99,13 +122,23 @@ def start_ingest(
     spark: SparkSession, messages: str, root: str, checkpoint: str,
     chart_pages: Pages, news_pages: Pages, layout: ChartLayout = ChartLayout(),
     ttl_hours: int = SNAPSHOT_TTL_HOURS, clock: Clock = utc_now, trigger: dict | None = None,
+    max_files: int | None = None,
 ) -> StreamingQuery:
-    """Stage 1: crawl requests to articles, snapshots and summary requests."""
-    def run(requests: DataFrame, batch_id: int) -> None:
-        session = requests.sparkSession
+    """Stage 1: crawl requests to articles, snapshots and summary requests.
+
+    Messages that are no requests go to the table of rejected ones. ``max_files`` bounds how
+    many message files one batch takes.
+    """
+    def run(messages: DataFrame, batch_id: int) -> None:
+        session = messages.sparkSession
+        left_out = messages.filter("reason is not null").withColumn("time", moment(clock()))
+        write_batch(left_out, root, "rejected", "crawl", batch_id)
+        requests = messages.filter("reason is null").select("seq", "job_id", "ticker")
+        if requests.isEmpty():
+            return
 
         def table(name: str) -> DataFrame:
-            return read_table(session, root, name, "crawl", batch_id)
+            return read_table(session, root, name, "crawl", batch_id, folders=True)
 
         done = ingest(
             requests, table("snapshots"), chart_pages(session),
@@ -117,7 +150,7 @@ def start_ingest(
         write_batch(done.requests, root, "summary_requests", "crawl", batch_id)
 
     return _start(
-        crawl_requests(spark, messages), run, checkpoint, "ingest",
+        crawl_messages(spark, messages, max_files), run, checkpoint, "ingest",
         trigger or {"availableNow": True},
     )
 
@@ -126,19 +159,24 @@ def start_summaries(
     spark: SparkSession, root: str, checkpoint: str, pages: Pages, system_prompt: str,
     annotator: Annotator, page_root: str = "main", tasks: int | None = None,
     pages_by_ticker: bool = False, clock: Clock = utc_now,
-    trigger: dict | None = None,
+    trigger: dict | None = None, max_files: int | None = None, waves: int = 1,
 ) -> StreamingQuery:
-    """Stage 2: summary requests to article updates and insight requests."""
+    """Stage 2: summary requests to article updates and insight requests.
+
+    Answers go to the ledger wave by wave, also those of a batch that fails later: what was
+    asked once is not asked again when the batch is repeated.
+    """
     def run(requests: DataFrame, batch_id: int) -> None:
         session = requests.sparkSession
         articles = current_articles(
-            read_table(session, root, "articles"),
-            read_table(session, root, "article_updates", "summary", batch_id),
+            read_table(session, root, "articles", folders=True),
+            read_table(session, root, "article_updates", "summary", batch_id, folders=True),
             request_rows(requests), texts=False,
         )
         done = summarise(
             requests, articles, pages(session), system_prompt, annotator, clock(), page_root,
-            tasks, pages_by_ticker,
+            tasks, pages_by_ticker, read_table(session, root, "answers", folders=True),
+            waves=waves, store=lambda rows: write_batch(rows, root, "answers", "summary", batch_id, "append"),
         )
         logged = done.updates.withColumn("seq", F.lit(batch_id).cast("bigint"))
         write_batch(logged, root, "article_updates", "summary", batch_id)
@@ -146,7 +184,7 @@ def start_summaries(
         write_batch(done.requests, root, "crop_requests", "summary", batch_id)
 
     return _start(
-        stage_requests(spark, root, "summary_requests"), run, checkpoint, "summaries",
+        stage_requests(spark, root, "summary_requests", max_files), run, checkpoint, "summaries",
         trigger or {"availableNow": True},
     )
 
@@ -154,21 +192,27 @@ def start_summaries(
 def start_insights(
     spark: SparkSession, root: str, checkpoint: str, system_prompt: str, annotator: Annotator,
     tasks: int | None = None, max_chars: int | None = None, clock: Clock = utc_now,
-    trigger: dict | None = None,
+    trigger: dict | None = None, max_files: int | None = None, waves: int = 1,
 ) -> StreamingQuery:
-    """Stage 3: insight requests to fragments. A batch that fails marks its jobs as failed."""
+    """Stage 3: insight requests to fragments. A batch that fails marks its jobs as failed.
+
+    The ledger is used as in stage 2; ``job_counts`` says what became of each job's pairs.
+    """
     def run(requests: DataFrame, batch_id: int) -> None:
         session = requests.sparkSession
         try:
             articles = current_articles(
-                read_table(session, root, "articles"),
-                read_table(session, root, "article_updates"), request_rows(requests),
+                read_table(session, root, "articles", folders=True),
+                read_table(session, root, "article_updates", folders=True), request_rows(requests),
             )
             done = extract_insights(
-                requests, articles, read_table(session, root, "fragments", "crop", batch_id),
+                requests, articles, read_table(session, root, "fragments", "crop", batch_id, folders=True),
                 system_prompt, annotator, clock(), tasks, max_chars,
+                read_table(session, root, "answers", folders=True), waves=waves,
+                store=lambda rows: write_batch(rows, root, "answers", "crop", batch_id, "append"),
             )
             write_batch(done.fragments, root, "fragments", "crop", batch_id)
+            write_batch(done.counts, root, "job_counts", "crop", batch_id)
             write_batch(done.status, root, "job_status", "crop", batch_id)
         except Exception as error:
             jobs = requests.select(child_seq(F.col("seq"), F.lit(3)).alias("seq"), "job_id")
@@ -177,11 +221,37 @@ def start_insights(
             raise
 
     return _start(
-        stage_requests(spark, root, "crop_requests"), run, checkpoint, "insights",
+        stage_requests(spark, root, "crop_requests", max_files), run, checkpoint, "insights",
         trigger or {"availableNow": True},
     )
 
 
+def start_landing(
+    spark: SparkSession, files: str, root: str, checkpoint: str,
+    named: Callable[[DataFrame], DataFrame] = with_path_fields, max_files: int | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Single page files, matched by the pattern ``files``, into the landed pages by ticker.
+
+    Every batch overwrites its own folder, and ``max_files`` bounds what it takes. ``named`` adds
+    ticker, kind and download time to rows with a ``path``; files whose names say none of it are
+    landed as rejected.
+    """
+    pages = bounded(spark.readStream, max_files).text(files, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        land_pages(named(batch), root, batch_id)
+
+    return (
+        pages.writeStream.queryName("landing")
+        .option("checkpointLocation", f"{checkpoint}/landing")
+        .foreachBatch(run)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def start_status(
     spark: SparkSession, root: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
