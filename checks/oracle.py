@@ -446,3 +446,5 @@ ORACLE["main_text"] = f"""
             case when doc_id % 2 = 0 then '' else 'The last paragraph' end) as text from documents),
     flowed as (select page_id, {_reflowed('text')} as f from whole)
     select page_id, cast(length(f) as integer) as n, md5(f) as text_md5 from flowed"""
+ORACLE["stream_stuck_jobs"] = ORACLE["stuck_jobs"]
+ORACLE["stream_profile"] = ORACLE["reason_profile"]

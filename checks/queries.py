@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import rules, views
 from newsloom.constants import INSIGHT_INPUT_CHARS, LINKS_PER_PAGE
@@ -20,7 +20,7 @@ from newsloom.plans.read import job_cards
 from newsloom.plans.summarise import summarise
 from newsloom.session import materialise, scratch_folder
 from newsloom.sources import html, messages, pages, prompts, tables
-from newsloom.streaming import stages
+from newsloom.streaming import live, stages
 
 STUCK_AT = datetime(2024, 1, 15)
 PAGE_LAYOUT = ChartLayout(link_class=None, title_attr=None, domain="/")
@@ -570,12 +570,37 @@ def read_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live status over batches with a restart, folded after the second."""
     root = scratch_folder(spark)
-    tables.write_batch(views.status(spark, sf_dir), root, "job_status", "events", 0)
-    stages.start_status(spark, root, f"{root}/checkpoint").awaitTermination()
+    tables.create_tables(spark, root)
+    _in_three(
+        views.status(spark, sf_dir),
+        lambda rows, n: tables.write_batch(rows, root, "job_status", "events", n),
+        lambda: stages.start_status(
+            spark, root, f"{root}/checkpoint", max_files=1, fold_every=2).awaitTermination(),
+    )
     return stages.live_status(spark, root)
 
 
+def stream_stuck_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live list of stuck jobs; timers put them there when time has passed."""
+    root = scratch_folder(spark)
+    tables.create_tables(spark, root)
+    events = materialise(views.status(spark, sf_dir))
+    # Time has to go on from file to file, so rows are cut by time here.
+    timed = events.withColumn("order", F.col("seq")).withColumn("seq", live.micros_of(F.col("time")))
+
+    def write(rows: DataFrame, n: int) -> None:
+        tables.write_batch(rows.withColumn("seq", F.col("order")), root, "job_status", "events", n)
+        tables.write_batch(
+            rows.withColumn("submitted_at", F.col("time")), root, "submissions", "events", n)
+
+    _in_three(timed, write, lambda: stages.start_stuck(
+        spark, root, f"{root}/checkpoint", max_files=1).awaitTermination())
+    limit = F.lit(STUCK_AT).cast("timestamp_ntz") - F.expr("INTERVAL 100 SECONDS")
+    return stages.live_stuck(spark, root).filter(F.col("submitted_at") < limit)
+
+
 def stream_unique_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of one user and day, each let through once."""
     root = scratch_folder(spark)
@@ -624,6 +649,18 @@ def rejected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.rejected(_mixed_messages(spark, sf_dir))
 
 
+def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of each kind of insight kept up to date over three batches, the first two of
+    which are folded; no batch reads the fragments of another."""
+    root = scratch_folder(spark)
+    tables.create_tables(spark, root)
+    rows = materialise(views.fragments(spark, sf_dir))
+    for n in range(3):
+        tables.write_batch(rows.filter(F.pmod("seq", F.lit(3)) == n), root, "fragments", "crop", n)
+        stages.start_profile(spark, root, f"{root}/checkpoint", fold_every=2).awaitTermination()
+    return stages.live_profile(spark, root)
+
+
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page files through the landing stream, two thirds of them first; after a restart all of them
     once more from another folder. Each is read once."""
@@ -663,9 +700,7 @@ def _added(spark: SparkSession, root: str, table: str, stage: str) -> DataFrame:
 
 def _in_three(rows: DataFrame, write, run) -> None:
     """Two files and, after a restart, a third, each a batch of its own; a later one has later rows."""
-    part = F.ntile(3).over(Window.orderBy("seq"))
-    cut = materialise(rows.select("seq").withColumn("part", part).groupBy("part").agg(F.max("seq").alias("last")))
-    first, second = (r["last"] for r in cut.orderBy("part").limit(2).collect())
+    first, second = rows.approxQuantile("seq", [1 / 3, 2 / 3], 0.01) or (0, 0)
     write(rows.filter(F.col("seq") <= first).coalesce(1), 1)
     write(rows.filter((F.col("seq") > first) & (F.col("seq") <= second)).coalesce(1), 2)
     run()
@@ -752,7 +787,7 @@ QUERIES = {
         ingest_requests, ingest_status, read_cards, stream_job_status, stream_unique_jobs,
         stream_requests, rejected_messages,
         stream_ingest, stream_summaries, stream_insights,
-        answer_ledger, annotate_failures, annotate_broken_batches, stream_rejects, landed_pages,
+        stream_stuck_jobs, stream_profile, answer_ledger, annotate_failures, annotate_broken_batches, stream_rejects, landed_pages,
         chart_news, chart_organisations, main_text,
     )
 }

@@ -60,8 +60,34 @@ def shown_counters(fragments: DataFrame, n: int = FRAGMENTS_SHOWN) -> DataFrame:
     return fragments.groupBy("ticker").agg(F.least(F.count("*"), F.lit(n)).alias("shown"))
 
 
+KIND = ["related_reason_simple", "polarity", "actual_trend"]
+
+
+def profile_parts(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What some fragments add to the profile: counts per kind, and each kind's tickers once."""
+    counts = fragments.groupBy(*KIND).agg(F.count("*").alias("n"))
+    return counts, fragments.select(*KIND, "ticker").distinct()
+
+
+def merged_parts(counts: DataFrame, tickers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts of several batches as one."""
+    return counts.groupBy(*KIND).agg(F.sum("n").alias("n")), tickers.select(*KIND, "ticker").distinct()
+
+
+def profile_of(counts: DataFrame, tickers: DataFrame) -> DataFrame:
+    """``reason_profile`` out of the parts of all fragments. Both sides are as small as the
+    number of kinds and of kinds by ticker."""
+    n, pairs = merged_parts(counts, tickers)
+    seen = pairs.groupBy(*[F.col(name).alias(f"_{name}") for name in KIND]).agg(
+        F.count("ticker").alias("n_tickers"))
+    same = F.lit(True)
+    for name in KIND:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return n.join(seen, same).select(*KIND, "n", "n_tickers")
+
+
 def reason_profile(fragments: DataFrame) -> DataFrame:
     """How often each kind of insight occurs, with which effect, and for how many tickers."""
-    return fragments.groupBy("related_reason_simple", "polarity", "actual_trend").agg(
+    return fragments.groupBy(*KIND).agg(
         F.count("*").alias("n"), F.countDistinct("ticker").alias("n_tickers")
     )

@@ -44,3 +44,13 @@ JOB_COUNTS = _table(
     ("seq", LONG), ("job_id", STRING), ("wanted", LONG), ("stored", LONG), ("no_content", LONG),
     ("asked", LONG), ("reused", LONG), ("answered", LONG), ("no_relation", LONG), ("failed", LONG),
 )
+LIVE_STATUS = _table(
+    ("job_id", STRING), ("status", STRING), ("ready", T.BooleanType()), ("seq", LONG), ("time", TIME)
+)
+SUBMISSIONS = _table(("job_id", STRING), ("submitted_at", TIME))
+STUCK_JOBS = _table(
+    ("job_id", STRING), ("submitted_at", TIME), ("status", STRING), ("stuck", T.BooleanType())
+)
+_KIND = (("related_reason_simple", STRING), ("polarity", STRING), ("actual_trend", STRING))
+PROFILE_COUNTS = _table(*_KIND, ("n", LONG))
+PROFILE_TICKERS = _table(*_KIND, ("ticker", STRING))

@@ -13,12 +13,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsloom.constants import SNAPSHOT_TTL_HOURS
+from newsloom.constants import SNAPSHOT_TTL_HOURS, STUCK_AFTER_SECONDS
 from newsloom.functions.status import job_failed
 from newsloom.functions.text import moment
-from newsloom.operators.jobs import latest_status
 from newsloom.operators.lookups import request_rows
 from newsloom.operators.records import child_seq, new_status
+from newsloom.operators.reports import KIND, merged_parts, profile_of, profile_parts
 from newsloom.plans.annotate import Annotator
 from newsloom.plans.ingest import ChartLayout, ingest
 from newsloom.plans.insights import extract_insights
@@ -27,8 +27,10 @@ from newsloom.session import materialise
 from newsloom.sources.messages import decode_crawl, rejected
 from newsloom.sources.pages import land_pages, with_path_fields
 from newsloom.sources.tables import (
-    bounded, current_articles, current_status, read_table, stored_schema, stream_table, write_batch,
+    bounded, current_articles, current_status, current_stuck, fold, newest_events, read_table,
+    since_fold, stream_table, write_batch,
 )
+from newsloom.streaming.live import job_updates, stuck_updates, time_of
 
 DUPLICATE_WINDOW = "1 day"
 Clock = Callable[[], datetime]
@@ -253,16 +255,24 @@ def start_landing(
 
 
 def start_status(
-    spark: SparkSession, root: str, checkpoint: str, trigger: dict | None = None
+    spark: SparkSession, root: str, checkpoint: str, trigger: dict | None = None,
+    max_files: int | None = None, expire_seconds: int = 86_400, fold_every: int = 100,
 ) -> StreamingQuery:
-    """Live job status: the batch aggregation on a stream, each batch the jobs that changed."""
-    events = stream_table(spark, root, "job_status").drop("stage", "batch")
+    """Live job status, each batch the jobs that changed.
+
+    Jobs that ended leave the state ``expire_seconds`` later. Every ``fold_every`` batches the table
+    is put together to one row per job.
+    """
+    events = stream_table(spark, root, "job_status", max_files).drop("stage", "batch")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, root, "live_status", "status", batch_id)
+        session = batch.sparkSession
+        write_batch(batch.withColumn("time", time_of(F.col("micros"))), root, "live_status", "status", batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            fold(newest_events(since_fold(session, root, "live_status")), root, "live_status", batch_id)
 
     return (
-        latest_status(events)
+        job_updates(events, expire_seconds)
         .writeStream.queryName("status")
         .option("checkpointLocation", f"{checkpoint}/status")
         .outputMode("update")
@@ -274,6 +284,68 @@ def start_status(
 
 def live_status(spark: SparkSession, root: str) -> DataFrame:
     """Status per job as the status stream last saw it."""
-    return current_status(
-        spark.read.schema(stored_schema("live_status")).parquet(f"{root}/live_status")
+    return current_status(since_fold(spark, root, "live_status"))
+
+
+def start_stuck(
+    spark: SparkSession, root: str, checkpoint: str, lateness: str = "0 seconds",
+    after_seconds: int = STUCK_AFTER_SECONDS, expire_seconds: int = 86_400,
+    trigger: dict | None = None, max_files: int | None = None,
+) -> StreamingQuery:
+    """Live list of stuck jobs, out of the tables of submissions and of status events."""
+    submissions, events = (
+        stream_table(spark, root, name, max_files).drop("stage", "batch") for name in ("submissions", "job_status"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("submitted_at", time_of(F.col("submitted")))
+        write_batch(rows, root, "stuck_jobs", "stuck", batch_id)
+
+    return (
+        stuck_updates(submissions, events, lateness, after_seconds, expire_seconds)
+        .writeStream.queryName("stuck")
+        .option("checkpointLocation", f"{checkpoint}/stuck")
+        .outputMode("update")
+        .foreachBatch(run)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def live_stuck(spark: SparkSession, root: str) -> DataFrame:
+    """The jobs that are stuck as the stream last saw them."""
+    return current_stuck(since_fold(spark, root, "stuck_jobs"))
+
+
+def start_profile(
+    spark: SparkSession, root: str, checkpoint: str, trigger: dict | None = None,
+    max_files: int | None = None, fold_every: int = 100,
+) -> StreamingQuery:
+    """The profile of each kind of insight, kept up to date from new fragments alone.
+
+    Every batch adds its parts; every ``fold_every`` batches the parts are put together.
+    """
+    columns = [*KIND, "ticker"]
+    fragments = stream_table(spark, root, "fragments", max_files).select(*columns)
+    names = ("profile_counts", "profile_tickers")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        for name, part in zip(names, profile_parts(materialise(batch))):
+            write_batch(part, root, name, "profile", batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            parts = merged_parts(*(since_fold(session, root, name) for name in names))
+            for name, part in zip(names, parts):
+                fold(part, root, name, batch_id)
+
+    return (
+        fragments.writeStream.queryName("profile")
+        .option("checkpointLocation", f"{checkpoint}/profile")
+        .foreachBatch(run)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
+
+
+def live_profile(spark: SparkSession, root: str) -> DataFrame:
+    """``reason_profile`` of all fragments that the profile stream has seen."""
+    return profile_of(*(since_fold(spark, root, name) for name in ("profile_counts", "profile_tickers")))
