@@ -169,23 +169,24 @@ INSIGHT_FRAGMENTS = f"""select seq, org, ticker, url, {RUN_AT} as time_created,
                case when n % 5 = 1 then '' else concat('"', cast(n as varchar), '"', chr(10)) end as quote_frag
         from answered where n % 5 not in (0, 2)"""
 
+SNAPSHOT = "seq, ticker, org, time_created, array_to_string(url_keys, '|') as urls"
+
 ORACLE = {
     "top_fragments": _with("fragments", _cards(_ranked("fragments"))),
     "top_one_ticker": _with("fragments", """select seq, url, time_created from fragments
         where ticker = 'src3' order by time_created desc, seq limit 10"""),
-    "snapshots_all": _with("snapshots", "select seq, ticker, org from snapshots"),
-    "snapshots_ticker": _with("snapshots", "select seq, ticker, org from snapshots where ticker = 'T7'"),
+    "snapshots_all": _with("snapshots", f"select {SNAPSHOT} from snapshots"),
+    "snapshots_ticker": _with("snapshots", f"select {SNAPSHOT} from snapshots where ticker = 'T7'"),
     "append_snapshot": _with("snapshots crawls", f"""
-        select seq, ticker, org, time_created, cast(len(url_keys) as integer) as n_links, url_keys[1] as first_url
-        from snapshots
-        union all select seq, ticker, job_id, {AS_OF}, 1, job_id from crawls"""),
+        select {SNAPSHOT} from snapshots
+        union all select seq, ticker, job_id, {AS_OF}, job_id from crawls"""),
     "append_article": _with("page_articles word_articles", f"""
         select seq, url, title, file_path, create_time, content, summary, publish_date from page_articles
         union all select seq, url, concat('to ', url), '', {RUN_AT}, 'pending', 'pending', '' from word_articles"""),
     "append_fragment": _with("fragments", f"""
-        select * exclude (quote_frag) from fragments
+        select * replace (md5(quote_frag) as quote_frag) from fragments
         union all
-        select * exclude (quote_frag) replace (
+        select * replace (md5(quote_frag) as quote_frag,
             case when polarity = 'positive' then time_created else {RUN_AT} end as time_created)
         from fragments"""),
     "append_status": _with("status crawls", f"""
@@ -254,8 +255,7 @@ ORACLE = {
                upper(ticker) as ticker
         from forms where user_id <> '' and session_id <> '' and ticker <> ''"""),
     "detail_json": _with("fragments", """
-        select seq, org, ticker, url, related_reason_short, polarity, md5(quote_frag) as quote_frag
-        from fragments"""),
+        select * replace (md5(quote_frag) as quote_frag) from fragments"""),
     "first_article": _with("articles requests", """
         select r.url, a.seq, a.title from (select distinct url from requests) r
         left join (select *, row_number() over (partition by url order by seq) as n from articles) a
@@ -448,3 +448,11 @@ ORACLE["main_text"] = f"""
     select page_id, cast(length(f) as integer) as n, md5(f) as text_md5 from flowed"""
 ORACLE["stream_stuck_jobs"] = ORACLE["stuck_jobs"]
 ORACLE["stream_profile"] = ORACLE["reason_profile"]
+ORACLE["stream_counters"] = f"""
+    with jobs as ({ORACLE['answer_ledger']}), sums as (
+        select (select count(*) from documents) as requests, sum(wanted) as wanted, sum(stored) as stored,
+            sum(asked) as asked, sum(answered) as answered, sum(no_relation) as no_relation,
+            sum(failed) as failed, (select count(*) from ({ORACLE['insights_fragments']})) as saved
+        from jobs where run = 1)
+    select name, value::bigint as value from (unpivot (select columns(*)::bigint from sums) on columns(*)
+        into name name value value)"""

@@ -30,12 +30,16 @@ MONTH = 24 * 30
 # Sources and sinks
 
 
+def _with_urls(snapshots: DataFrame) -> DataFrame:
+    return snapshots.withColumn("urls", F.array_join("url_keys", "|")).drop("url_keys")
+
+
 def snapshots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.snapshots(views.snapshots(spark, sf_dir), "").select("seq", "ticker", "org")
+    return _with_urls(records.snapshots(views.snapshots(spark, sf_dir), ""))
 
 
 def snapshots_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.snapshots(views.snapshots(spark, sf_dir), "T7").select("seq", "ticker", "org")
+    return _with_urls(records.snapshots(views.snapshots(spark, sf_dir), "T7"))
 
 
 def append_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +48,7 @@ def append_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", "ticker", F.col("job_id").alias("org"), F.array("job_id").alias("url_keys")
     )
     both = records.append(stored, records.new_snapshots(added, views.AS_OF))
-    return both.select(
-        "seq", "ticker", "org", "time_created", F.size("url_keys").alias("n_links"),
-        F.get("url_keys", F.lit(0)).alias("first_url"),
-    )
+    return _with_urls(both)
 
 
 def append_article(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def append_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
         "time_created", F.when(F.col("polarity") == "positive", F.col("time_created"))
     )
     both = records.append(stored, records.new_fragments(unstamped, views.RUN_AT))
-    return both.drop("quote_frag")
+    return both.withColumn("quote_frag", F.md5("quote_frag"))
 
 
 def append_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,10 +205,11 @@ def request_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = reports.details(views.fragments(spark, sf_dir))
-    fields = ("org", "ticker", "url", "related_reason_short", "polarity", "quote_frag")
-    return texts.select("seq", F.json_tuple("detail", *fields).alias(*fields)).withColumn(
-        "quote_frag", F.md5("quote_frag")
-    )
+    fields = schemas.FRAGMENTS.names
+    return texts.select(F.json_tuple("detail", *fields).alias(*fields)).withColumns({
+        "seq": F.col("seq").cast("bigint"), "time_created": F.col("time_created").cast("timestamp_ntz"),
+        "quote_frag": F.md5("quote_frag"),
+    })
 
 
 # Joins
@@ -495,6 +497,12 @@ def insights_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _insights(spark, sf_dir).status
 
 
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the third stage has counted itself while it wrote, over three batches."""
+    root = _run_insights(spark, sf_dir)
+    return tables.read_table(spark, root, "run_counts").groupBy("name").agg(F.sum("value").alias("value"))
+
+
 def answer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each job's pairs: asked at first, once more without and with a second try
     of what failed. The second run asks nothing, the third only what failed."""
@@ -752,8 +760,7 @@ def stream_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stream_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 3 as a stream over stage requests, in batches with a restart; the fragments it adds."""
+def _run_insights(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_folder(spark)
     tables.create_tables(spark, root)
     tables.write_batch(views.articles(spark, sf_dir), root, "articles", "start", 1)
@@ -768,7 +775,12 @@ def stream_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     _in_three(
         views.requests(spark, sf_dir),
         lambda rows, n: tables.write_batch(rows, root, "crop_requests", "start", n), run)
-    return _added(spark, root, "fragments", "crop")
+    return root
+
+
+def stream_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 3 as a stream over stage requests, in batches with a restart; the fragments it adds."""
+    return _added(spark, _run_insights(spark, sf_dir), "fragments", "crop")
 
 
 QUERIES = {
@@ -787,7 +799,7 @@ QUERIES = {
         ingest_requests, ingest_status, read_cards, stream_job_status, stream_unique_jobs,
         stream_requests, rejected_messages,
         stream_ingest, stream_summaries, stream_insights,
-        stream_stuck_jobs, stream_profile, answer_ledger, annotate_failures, annotate_broken_batches, stream_rejects, landed_pages,
+        stream_stuck_jobs, stream_profile, stream_counters, answer_ledger, annotate_failures, annotate_broken_batches, stream_rejects, landed_pages,
         chart_news, chart_organisations, main_text,
     )
 }

@@ -54,3 +54,4 @@ STUCK_JOBS = _table(
 _KIND = (("related_reason_simple", STRING), ("polarity", STRING), ("actual_trend", STRING))
 PROFILE_COUNTS = _table(*_KIND, ("n", LONG))
 PROFILE_TICKERS = _table(*_KIND, ("ticker", STRING))
+RUN_COUNTS = _table(("name", STRING), ("value", LONG))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.constants import SNAPSHOT_TTL_HOURS, STUCK_AFTER_SECONDS
@@ -27,12 +27,13 @@ from newsloom.session import materialise
 from newsloom.sources.messages import decode_crawl, rejected
 from newsloom.sources.pages import land_pages, with_path_fields
 from newsloom.sources.tables import (
-    bounded, current_articles, current_status, current_stuck, fold, newest_events, read_table,
+    TABLES, bounded, current_articles, current_status, current_stuck, fold, newest_events, read_table,
     since_fold, stream_table, write_batch,
 )
 from newsloom.streaming.live import job_updates, stuck_updates, time_of
 
 DUPLICATE_WINDOW = "1 day"
+COUNTED = ("wanted", "stored", "asked", "answered", "no_relation", "failed")
 Clock = Callable[[], datetime]
 Pages = Callable[[SparkSession], DataFrame]
 
@@ -102,14 +103,16 @@ def stage_requests(
 
 
 def _start(
-    stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, name: str,
+    stream: DataFrame, run: Callable[[DataFrame, int, int], None], checkpoint: str, name: str,
     trigger: dict,
 ) -> StreamingQuery:
     def run_kept(batch: DataFrame, batch_id: int) -> None:
         # The duplicate state is read and written once, however often the rows are used.
-        requests = materialise(batch.drop("arrived"))
-        if not requests.isEmpty():
-            run(requests, batch_id)
+        taken = Observation()
+        requests = materialise(batch.drop("arrived").observe(taken, F.count(F.lit(1)).alias("requests")))
+        n_requests = taken.get["requests"]
+        if n_requests:
+            run(requests, batch_id, n_requests)
 
     return (
         stream.writeStream.queryName(name)
@@ -131,7 +134,7 @@ def start_ingest(
     Messages that are no requests go to the table of rejected ones. ``max_files`` bounds how
     many message files one batch takes.
     """
-    def run(messages: DataFrame, batch_id: int) -> None:
+    def run(messages: DataFrame, batch_id: int, n_messages: int) -> None:
         session = messages.sparkSession
         left_out = messages.filter("reason is not null").withColumn("time", moment(clock()))
         write_batch(left_out, root, "rejected", "crawl", batch_id)
@@ -168,7 +171,7 @@ def start_summaries(
     Answers go to the ledger wave by wave, also those of a batch that fails later: what was
     asked once is not asked again when the batch is repeated.
     """
-    def run(requests: DataFrame, batch_id: int) -> None:
+    def run(requests: DataFrame, batch_id: int, n_requests: int) -> None:
         session = requests.sparkSession
         articles = current_articles(
             read_table(session, root, "articles", folders=True),
@@ -198,9 +201,10 @@ def start_insights(
 ) -> StreamingQuery:
     """Stage 3: insight requests to fragments. A batch that fails marks its jobs as failed.
 
-    The ledger is used as in stage 2; ``job_counts`` says what became of each job's pairs.
+    The ledger is used as in stage 2; ``job_counts`` says what became of each job's pairs, and
+    ``run_counts`` the same per batch.
     """
-    def run(requests: DataFrame, batch_id: int) -> None:
+    def run(requests: DataFrame, batch_id: int, n_requests: int) -> None:
         session = requests.sparkSession
         try:
             articles = current_articles(
@@ -213,8 +217,16 @@ def start_insights(
                 read_table(session, root, "answers", folders=True), waves=waves,
                 store=lambda rows: write_batch(rows, root, "answers", "crop", batch_id, "append"),
             )
-            write_batch(done.fragments, root, "fragments", "crop", batch_id)
-            write_batch(done.counts, root, "job_counts", "crop", batch_id)
+            # Spark counts what it writes while it writes it.
+            saved, counted = Observation(), Observation()
+            sums = [F.sum(name).alias(name) for name in COUNTED]
+            write_batch(
+                done.fragments.observe(saved, F.count(F.lit(1)).alias("saved")), root, "fragments", "crop", batch_id)
+            write_batch(
+                done.counts.observe(counted, *sums), root, "job_counts", "crop", batch_id)
+            values = {"requests": n_requests, **counted.get, **saved.get}
+            rows = [(name, value or 0) for name, value in values.items()]
+            write_batch(session.createDataFrame(rows, TABLES["run_counts"]), root, "run_counts", "crop", batch_id)
             write_batch(done.status, root, "job_status", "crop", batch_id)
         except Exception as error:
             jobs = requests.select(child_seq(F.col("seq"), F.lit(3)).alias("seq"), "job_id")
