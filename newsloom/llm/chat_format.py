@@ -166,6 +166,10 @@ def _digest(batches):
         rows = []
         for conv in batch.to_pylist():
             formatted = conv["formatted"]
+            if conv["rewritten"]:
+                # Nothing can be told about single turns.
+                rows.append((conv["conv_id"], None, None, None, None, len(formatted)))
+                continue
             turns = read_back(formatted)
             whole = "".join(f"{role}\n{text}\n" for role, text in turns)
             masked = "".join(unescape(formatted[s["text_start"]:s["text_end"]])
@@ -183,7 +187,10 @@ def _digest(batches):
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What can be read back from formatted chats of the default template, as digests."""
+    """What can be read back from formatted chats of the default template, as digests.
+
+    Of a chat whose template rewrote earlier turns only the id and the length are known.
+    """
     return chats.mapInArrow(_digest, (
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint"

@@ -52,11 +52,16 @@ class Memo(dict):
 
 
 def per_process(name: str, make: Callable):
-    """What ``make`` returned for ``name`` in this Python worker, which serves many tasks."""
+    """What ``make`` returned for ``name`` in this Python worker, which serves many tasks.
+
+    A worker holds one such thing: asking for another drops what earlier stages remembered.
+    """
     state = sys.modules.setdefault("_newsloom_worker", types.ModuleType("_newsloom_worker"))
-    if not hasattr(state, name):
-        setattr(state, name, make())
-    return getattr(state, name)
+    held = state.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
 
 
 def file_digest(path: str) -> str:

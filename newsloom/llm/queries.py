@@ -12,7 +12,7 @@ from newsloom.llm import (
     quality_classifier, quality_rules, sharding, token_counts, url_filters,
 )
 from newsloom.llm.common import text_or_empty
-from newsloom.session import materialise, scratch_folder
+from newsloom.session import configure, materialise, scratch_folder
 
 RULES = """
     select * from values ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
@@ -94,6 +94,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # For its smaller Arrow batches: a worker's memory grows with them.
+    configure(spark)
     return ngram_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -308,6 +310,35 @@ def crc32_sql(number: str) -> str:
             xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))))"""
 
 
+#: CRC-32 of whole texts, a step per byte: first of each single byte, then of the texts.
+CRC_TABLE_SQL = """crc_steps as (
+        select list(list_reduce(list_prepend(byte, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, bit:
+            xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end)) order by byte) as steps
+        from range(256) bytes(byte)
+    )"""
+
+SHARD_SQL = f"""
+    with {CRC_TABLE_SQL}, keyed as (
+        select doc_id, coalesce(text, '') as body, strlen(coalesce(text, '')) + 1 as size,
+            ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as h
+        from documents
+    ), summed as (
+        select *, sum(size) over (order by h, doc_id) as upto, sum(size) over (partition by h) as group_size,
+            sum(size) over () as total, row_number() over (order by h, doc_id) as place
+        from keyed
+    ), placed as (
+        select *, least(7, floor(8 * case when group_size > greatest(1, total // 1024) then 2 * upto - size
+            else 2 * min(upto - size) over (partition by h) + group_size end::double / (2 * total)))::integer as shard
+        from summed
+    )
+    select doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(
+            regexp_extract_all(hex(body), '..'), lambda x: ('0x' || x)::bigint)), lambda crc, byte:
+            xor(crc >> 8, steps[(xor(crc, byte) & 255) + 1]))) as text_crc32,
+        'bytes' as law, shard, row_number() over (partition by shard order by place) - 1 as slot,
+        null::integer as grown_shard
+    from placed, crc_steps
+"""
+
 MERKLE_SQL = rf"""
     with recursive fields as (
         select doc_id, source, text,
@@ -422,6 +453,7 @@ TRIE_SQL = rf"""
 
 ORACLE = {
     "op1_url_filters": URL_SQL,
+    "op4_sharding": SHARD_SQL,
     "op5_exact_dedup": DEDUP_SQL,
     "op7_chat_format": CHAT_SQL,
     "op8_mixing": MIX_SQL,
