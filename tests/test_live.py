@@ -12,6 +12,7 @@ from newsloom import schemas
 from newsloom.functions.status import status_class
 from newsloom.operators.jobs import latest_status, stuck_jobs
 from newsloom.operators.reports import reason_profile
+from newsloom.session import STATE_SLOTS
 from newsloom.sources.tables import create_tables, last_fold, read_table, write_batch
 from newsloom.streaming import live, stages
 
@@ -126,3 +127,52 @@ def test_profile_reads_new_fragments_only(spark, site, tmp_path):
     assert run() == 2
     want = reason_profile(read_table(spark, site, "fragments")).collect()
     assert sorted(map(str, stages.live_profile(spark, site).collect())) == sorted(map(str, want))
+
+
+@pytest.fixture
+def one_slot(spark):
+    spark.conf.set(STATE_SLOTS, "1")
+    yield
+    spark.conf.unset(STATE_SLOTS)
+
+
+def test_jobs_share_a_slot_and_leave_it_one_by_one(spark, site, tmp_path, one_slot):
+    """Python is called per slot, not per job."""
+    def run():
+        query = stages.start_status(spark, site, str(tmp_path / "c"), expire_seconds=1)
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    events(spark, site, 1, *[(i, f"j{i}", READY if i % 2 else RUNNING, T0) for i in range(20)],
+           (None, "j0", FAILED, T0), (20, None, FAILED, None))
+    assert run() == 1
+    time.sleep(2)
+    events(spark, site, 2, *[(30 + i, f"j{i}", FAILED, T0 + timedelta(hours=1)) for i in range(0, 20, 2)])
+    assert run() == 1
+    time.sleep(2)
+    events(spark, site, 3, (50, "j1", RUNNING, T0 + timedelta(hours=2)))
+    run()
+    everything = read_table(spark, site, "job_status")
+    assert status(spark, site) == {r.job_id: r.status for r in latest_status(everything).collect()}
+    rows = spark.read.parquet(f"{site}/live_status").filter("stage = 'status'").groupBy("job_id").count()
+    assert {r.job_id: r["count"] for r in rows.collect()} == {
+        None: 1, **{f"j{i}": 1 if i % 2 and i != 1 else 2 for i in range(20)}}
+
+
+def test_stuck_jobs_of_one_slot(spark, site, tmp_path, one_slot):
+    def run():
+        query = stages.start_stuck(spark, site, str(tmp_path / "c"), expire_seconds=60)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+        return {(r.job_id, r.status) for r in stages.live_stuck(spark, site).collect()}
+
+    def at(seconds):
+        return T0 + timedelta(seconds=seconds)
+
+    write_batch(spark.createDataFrame([("slow", at(0)), ("fast", at(0)), ("silent", at(10)), ("now", at(300))],
+                                      schemas.SUBMISSIONS), site, "submissions", "web", 1)
+    events(spark, site, 1, (1, "slow", RUNNING, at(20)), (2, "fast", READY, at(30)), (3, "now", RUNNING, at(300)))
+    assert run() == {("slow", RUNNING), ("silent", "nothing")}
+    write_batch(spark.createDataFrame([("now", at(301))], schemas.SUBMISSIONS), site, "submissions", "web", 2)
+    events(spark, site, 2, (4, "slow", FAILED, at(301)))
+    assert run() == {("silent", "nothing")}
