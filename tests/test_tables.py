@@ -233,3 +233,22 @@ def test_landed_pages_are_read_once(spark, tmp_path):
         spark.createDataFrame([(1, "j", "U")], schemas.CRAWL_REQUESTS), spark.createDataFrame([], schemas.CHART_SNAPSHOTS),
         read_landed(spark, root, "chart"), NOW)
     assert [r.ticker for r in news.collect()] == ["U"]
+
+
+def test_landed_pages_lie_in_few_folders_that_lookups_prune(spark, tmp_path):
+    """However many tickers a batch has; a ticker's lookups read its folder alone."""
+    root = str(tmp_path / "pages")
+    spark.conf.set("newsloom.keyFolders", "4")
+    try:
+        landed = spark.range(100).select(
+            F.concat(F.lit("/"), "id").alias("path"), F.concat(F.lit("html "), "id").alias("html"),
+            F.concat(F.lit("T"), "id").alias("ticker"), F.lit("chart").alias("kind"),
+            F.lit(NOW.isoformat(" ")).cast("timestamp_ntz").alias("downloaded_at"))
+        land_pages(landed, root, 0)
+        assert len(list((tmp_path / "pages").glob("*/*/*.parquet"))) == 4
+        wanted = spark.createDataFrame([("T7",), ("T8",), ("none",)], "ticker string")
+        found = newest_pages(read_landed(spark, root), wanted, ["ticker"])
+        assert sorted(map(tuple, found.collect())) == [("T7", "html 7"), ("T8", "html 8")]
+        assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("newsloom.keyFolders")
