@@ -5,15 +5,15 @@
    propose anything like them, and long tokens that could be secrets.
 2. **Features** of each wide candidate are its format (length, kinds of characters, entropy,
    separators) and its context (what stands before it, whether that names a credential).
-3. **Boosted trees** (Spark's own) are trained on a bounded sample of the corpus's own
-   candidates. Their labels are weak: a candidate counts as personal if it overlaps a base
-   span or has the shape of a known credential. Half the sample trains, half calibrates.
+3. **Boosted trees** (Spark's own) are trained on the corpus's own candidates. Their labels
+   are weak: a candidate counts as personal if it overlaps a base span or has the shape of a
+   known credential. Half of all candidates trains, half calibrates.
 4. **Thresholds** are, per kind, the lowest score at which the calibration half reaches
    ``PRECISION``; a kind that never does adds nothing. Of overlapping candidates above their
    threshold the highest score wins, and none is added that overlaps a base span.
 
 Texts are read once, whole, in Arrow batches; what is stored between the passes are spans and
-features. ``SAMPLE`` bounds what the trees are trained on, not what is searched or scored.
+features. Training and calibration take every candidate; the driver gets counts by score only.
 
 Base searches take time in proportion to the text, also where it is one endless word.
 
@@ -30,8 +30,8 @@ from newsloom.llm.common import slices
 from newsloom.session import materialise
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Rows that trees are trained and thresholds set on, about.
-SAMPLE = 20_000
+#: Steps of the scores that thresholds are chosen from.
+GRID = 10_000
 PRECISION = 0.99
 TREES = {"maxIter": 10, "maxDepth": 3, "seed": 7, "checkpointInterval": -1}
 SLICE_BYTES = 1 << 20
@@ -212,47 +212,60 @@ def scores(trees, rows):
 
 
 def train(proposed: DataFrame):
-    """Trees and thresholds per kind from a sample of at most about ``SAMPLE`` candidates.
+    """Trees and thresholds per kind from all candidates: one half trains, the other calibrates.
 
-    No trees if the sample shows one label only.
+    No trees if the training half shows one label only.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    total = proposed.agg(F.sum(F.size("wide"))).first()[0] or 0
-    share = min(1.0, SAMPLE / max(1, total))
     drawn = F.pmod(F.xxhash64("id", "c.start", "c.kind"), F.lit(1 << 20))
-    sample = materialise(
-        proposed.select("id", F.explode("wide").alias("c")).withColumn("drawn", drawn)
-        .filter(F.col("drawn") < int(share * (1 << 20))).select(
-            "c.kind", "c.label", "c.features", (F.col("drawn") % 2 == 0).alias("trains"))
-    )
-    training = sample.filter("trains")
+    candidates = materialise(proposed.select("id", F.explode("wide").alias("c")).select(
+        "c.kind", "c.label", "c.features", (drawn % 2 == 0).alias("trains")))
+    training = candidates.filter("trains")
     if training.select("label").distinct().count() < 2:
         return [], {}
     model = GBTClassifier(**TREES).fit(
         training.select("label", array_to_vector("features").alias("features"))
     )
     trees = exported(model)
-    held_out = sample.filter("not trains").select("kind", "label", "features").collect()
-    return trees, calibrated(trees, held_out)
+    return trees, calibrated(trees, candidates.filter("not trains"))
+
+
+def step_of(p):
+    """Scores as steps of the grid."""
+    import numpy as np
+
+    return np.floor(np.asarray(p) * GRID)
+
+
+def _steps(trees):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                p = scores(trees, batch.column("features").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("kind"), pa.array(step_of(p).astype(int), pa.int64()), batch.column("label")],
+                    names=["kind", "step", "label"])
+    return run
 
 
-def calibrated(trees, held_out) -> dict[str, float]:
+def calibrated(trees, held_out: DataFrame) -> dict[str, float]:
+    """Per kind the lowest step of the grid from which on ``PRECISION`` is reached, 0.5 at least."""
     import numpy as np
 
+    steps = held_out.select("kind", "label", "features").mapInArrow(
+        _steps(trees), "kind string, step bigint, label double")
+    # At most GRID rows of a kind, whatever the corpus.
+    counts = steps.groupBy("kind", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
     thresholds = {}
     for kind in WIDE:
-        rows = [r for r in held_out if r.kind == kind]
-        if not rows:
-            continue
-        p = scores(trees, [r.features for r in rows])
-        order = np.argsort(-p, kind="stable")
-        good = np.cumsum(np.array([r.label for r in rows])[order])
-        precise = good / np.arange(1, len(rows) + 1) >= PRECISION
-        last = np.append(p[order][1:] != p[order][:-1], True)
-        if (precise & last).any():
-            thresholds[kind] = max(0.5, float(p[order][np.flatnonzero(precise & last)[-1]]))
+        rows = sorted((r for r in counts if r.kind == kind), key=lambda r: -r.step)
+        precise = np.cumsum([r.good for r in rows]) / np.cumsum([r.n for r in rows]) >= PRECISION if rows else []
+        if any(precise):
+            thresholds[kind] = max(0.5, rows[int(np.flatnonzero(precise)[-1])].step / GRID)
     return thresholds
 
 
@@ -269,7 +282,7 @@ def _select(trees, thresholds):
             best = sorted(zip(p, flat), key=lambda x: (-x[0], x[1][0], x[1][1]["start"], x[1][1]["kind"]))
             for chance, (i, c) in best:
                 free = all(e <= c["start"] or c["end"] <= s for _, s, e in spans[i])
-                if chance >= thresholds[c["kind"]] and free:
+                if step_of(chance) / GRID >= thresholds[c["kind"]] and free:
                     spans[i].append((c["kind"], c["start"], c["end"]))
             order = [*KINDS, *WIDE]
             texts = [joined(sorted(row, key=lambda s: (s[1], order.index(s[0])))) for row in spans]

@@ -463,3 +463,19 @@ def test_pipeline(spark, docs, small, empty):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, SF_DIR)
         assert table.count() >= 0
+
+
+def test_pii_trains_on_every_candidate(spark):
+    """One candidate of the rarer label among 30,000 is enough, whatever its hash."""
+    drawn = F.pmod(F.xxhash64("id", F.lit(0).cast("bigint"), F.lit("secret")), F.lit(1 << 20))
+    ids = spark.range(30_000).withColumn("drawn", drawn)
+    rare = ids.filter("drawn % 2 = 0").agg(F.max_by("id", "drawn")).first()[0]
+    label = (F.col("id") == rare).cast("double")
+    features = F.array(label, *[F.lit(0.0)] * 17)
+    proposed = ids.select("id", F.array(F.struct(
+        F.lit("secret").alias("kind"), F.lit(0).cast("bigint").alias("start"), F.lit(20).cast("bigint").alias("end"),
+        label.alias("label"), features.alias("features"))).alias("wide"))
+    trees, thresholds = pii.train(proposed)
+    assert trees and thresholds == {}
+    low, high = pii.scores(trees, [[0.0] * 18, [1.0] + [0.0] * 17])
+    assert low < 0.5 < high
