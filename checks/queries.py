@@ -506,10 +506,13 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each job's pairs: asked at first, once more without and with a second try
     of what failed. The second run asks nothing, the third only what failed."""
+    # Three runs read them; the joins that make them are done once.
+    asked, articles = materialise(views.requests(spark, sf_dir)), materialise(views.articles(spark, sf_dir))
+    stored = materialise(views.fragments(spark, sf_dir).select("url", "ticker"))
+
     def run(ledger: DataFrame, retry_failed: bool):
         return extract_insights(
-            views.requests(spark, sf_dir), views.articles(spark, sf_dir),
-            views.fragments(spark, sf_dir), "Extract.", rules.insight_rule, views.RUN_AT,
+            asked, articles, stored, "Extract.", rules.insight_rule, views.RUN_AT,
             ledger=ledger, retry_failed=retry_failed, waves=2,
         )
 

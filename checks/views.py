@@ -325,9 +325,9 @@ from documents d join events e on e.event_id = d.doc_id
 
 def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
-    return table(spark, sf_dir, "documents").join(events, "doc_id").select(
-        _word(3).alias("url"),
-        F.col("source").alias("ticker"), _key("news/", F.col("doc_id")).alias("path"),
+    # The url is made before the join: where nobody wants the html, no text is shuffled.
+    return table(spark, sf_dir, "documents").withColumn("url", _word(3)).join(events, "doc_id").select(
+        "url", F.col("source").alias("ticker"), _key("news/", F.col("doc_id")).alias("path"),
         F.col("ts").alias("downloaded_at"), F.col("text").alias("html"),
     )
 
