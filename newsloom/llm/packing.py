@@ -33,15 +33,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from newsloom.llm.common import per_process, slices
+from newsloom.llm.common import parts, per_process
 from newsloom.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-#: A worker remembers about so many words, none longer than ``MEMO_CHARS``.
+#: A worker remembers at most so many words and bytes of words beside those of its last slice.
 MEMO_WORDS = 1_000_000
-MEMO_CHARS = 64
-SLICE_BYTES = 1 << 20
+MEMO_BYTES = 32 << 20
+#: So many words are encoded as one text, with this between them.
+AT_ONCE = 500
+MARK = "\0"
+#: Bytes of text encoded at once.
+SLICE_BYTES = 6 << 20
 #: No slice of a length holds more than this share of all pieces.
 SLICES = 512
 PIECE = T.StructType([
@@ -52,38 +56,84 @@ IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
 def word_encoder(vocabulary: str):
-    """A function from texts to their ids as little-endian bytes, through a memo of words.
+    """A function from an Arrow column of texts to each text's ids, through a memo of words.
 
-    Python also splits at four control characters that the tokenizer takes for symbols;
-    texts with one of them are split by the tokenizer's white space.
+    Distinct words are looked up once for all texts. New ones go to the library many to a text, with
+    a mark between them that has an id of its own; where the ids show another number of marks, each
+    word goes by itself. The memo is Arrow columns, a tenth of what dictionaries of words take.
+
+    Arrow also splits at four control characters that the tokenizer takes for symbols;
+    texts beside one of them are split by the tokenizer's white space.
     """
     import os
     import re
+    from itertools import batched
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    separators = re.compile("[\x1c-\x1f]")
-    spaces = re.compile("[\t-\r \x85\xa0  -     　]+")
-
-    memo: dict[str, bytes] = {}
+    separators = "[\x1c-\x1f]"
+    spaces = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+    def encoded(*texts):
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    [mark] = encoded(MARK)
+
+    def ids_of(words):
+        """How many ids each word has, and all ids."""
+        sizes, every = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for chunk in batched(words, AT_ONCE):
+            [ids] = encoded(f" {MARK} ".join(chunk))
+            is_mark = ids == mark[0] if len(mark) == 1 else np.ones(len(ids), bool)
+            at = np.flatnonzero(is_mark)
+            if len(at) == len(chunk) - 1 and "".join(chunk).count(MARK) == 0:
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+                every.append(ids[~is_mark])
+            else:
+                alone = encoded(*chunk)
+                sizes.append(np.array([len(i) for i in alone], np.int64))
+                every += alone
+        return np.concatenate(sizes), np.concatenate(every)
+
+    def gathered(word, sizes, every):
+        """Ends of the ids of each of ``word``, numbers of words, and these ids."""
+        ends = np.append(0, np.cumsum(sizes[word]))
+        starts = np.cumsum(sizes) - sizes
+        return ends, every[np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], sizes[word])]
+
+    memo = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def encode(texts):
-        split = [spaces.split(text) if separators.search(text) else text.split() for text in texts]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list({word for words in split for word in words if word not in memo})
-        found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        memo.update((word, np.array(e.ids, dtype="<u4").tobytes()) for word, e in zip(new, found))
-        coded = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > MEMO_CHARS:
-                del memo[word]
-        return coded
+        nonlocal memo
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        if pc.any(pc.match_substring_regex(texts, separators)).as_py():
+            split = pa.array([spaces.split(text) for text in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, word = coded.dictionary, coded.indices.to_numpy()
+        place = pc.index_in(words, value_set=memo[0])
+        new = words.filter(place.is_null())
+        sizes, every = ids_of(new.to_numpy(zero_copy_only=False).tolist())
+        place = place.to_numpy(zero_copy_only=False)
+        place = np.where(np.isnan(place), len(memo[0]) + np.cumsum(np.isnan(place)) - 1, place).astype(np.int64)
+        memo = pa.concat_arrays([memo[0], new]), np.append(memo[1], sizes), np.append(memo[2], every)
+        ends, found = gathered(place[word], *memo[1:])
+        if len(memo[0]) > MEMO_WORDS or memo[0].nbytes > MEMO_BYTES:
+            last, ids = gathered(place, *memo[1:])
+            memo = words, np.diff(last), ids
+            if words.nbytes > MEMO_BYTES:
+                memo = words[:0], memo[1][:0], memo[2][:0]
+        lengths = pc.list_value_length(split).to_numpy()
+        stops = ends[np.append(0, np.cumsum(lengths))].tolist()
+        return [found[a:b] for a, b in zip(stops, stops[1:])]
     return encode
 
 
@@ -95,29 +145,37 @@ def _cut(vocabulary: str, text_col: str, kept: list[str], capacity: int, with_id
         import pyarrow as pa
 
         encode = per_process(f"words of {vocabulary}", lambda: word_encoder(vocabulary))
-        end, size = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            rows, pieces = [], []
-
-            def flush():
-                columns = list(zip(*pieces)) or [()] * (5 if with_ids else 4)
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                return pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(pa.array(rows, pa.int64())) for c in kept],
-                     *[pa.array(c, t) for c, t in zip(columns, types)]],
-                    names=[*kept, *PIECE.names, *["ids"] * with_ids],
-                )
 
-            for first, texts in slices(batch.column(text_col), SLICE_BYTES):
+        def cut(table):
+            for first, texts in parts(table.column(text_col), SLICE_BYTES):
+                rows, pieces, numbers = [], [], []
                 for i, ids in enumerate(encode(texts)):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), size)):
-                        part = ids[at:at + size]
-                        numbers = (np.frombuffer(part, "<i4").tolist(),) if with_ids else ()
+                    ids = np.append(ids, np.array(END_ID, "<u4"))
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at:at + capacity]
                         rows.append(first + i)
-                        pieces.append((k, at // 4, len(part) // 4, zlib.crc32(part), *numbers))
-                yield flush()
-                rows, pieces = [], []
+                        pieces.append((k, at, len(part), zlib.crc32(part)))
+                        if with_ids:
+                            numbers.append(part.view("<i4"))
+                columns = list(zip(*pieces)) or [()] * 4
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [*[table.column(c).take(pa.array(rows, pa.int64())) for c in kept],
+                     *[pa.array(c, t) for c, t in zip(columns, types)],
+                     *[pa.array(numbers, pa.list_(pa.int32()))] * with_ids],
+                    names=[*kept, *PIECE.names, *["ids"] * with_ids],
+                )
+
+        # Batches may be far smaller than what is encoded at once.
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SLICE_BYTES:
+                yield from cut(pa.concat_batches(held))
+                held, size = [], 0
+        if held:
+            yield from cut(pa.concat_batches(held))
     return run
 
 
