@@ -39,13 +39,13 @@ from newsloom.session import materialise
 CAPACITY = 4096
 END_ID = 1
 #: A worker remembers at most so many words and bytes of words beside those of its last slice.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 MEMO_BYTES = 32 << 20
 #: So many words are encoded as one text, with this between them.
 AT_ONCE = 500
 MARK = "\0"
 #: Bytes of text encoded at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: No slice of a length holds more than this share of all pieces.
 SLICES = 512
 PIECE = T.StructType([
