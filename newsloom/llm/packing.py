@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from newsloom.llm.common import parts, per_process
+from newsloom.llm.common import given_back, parts, per_process
 from newsloom.session import materialise
 
 CAPACITY = 4096
@@ -168,7 +168,7 @@ def _cut(vocabulary: str, text_col: str, kept: list[str], capacity: int, with_id
 
         # Batches may be far smaller than what is encoded at once.
         held, size = [], 0
-        for batch in batches:
+        for batch in given_back(batches):
             held.append(batch)
             size += batch.nbytes
             if size >= SLICE_BYTES:

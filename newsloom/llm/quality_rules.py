@@ -32,7 +32,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from newsloom.llm.common import SPACES, aside, slices
+from newsloom.llm.common import SPACES, aside, given_back, slices
 from newsloom.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -144,7 +144,7 @@ def _measure(vocabulary: str, text_col: str, lang_col: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        for batch in batches:
+        for batch in given_back(batches):
             langs = batch.column(lang_col).to_pylist()
             rows = []
             for start, texts in slices(batch.column(text_col), SLICE_BYTES):
