@@ -292,6 +292,31 @@ def test_ngram_join_of_hot_lists_does_not_square(spark, monkeypatch):
     assert sizes[1] <= 6 * sizes[0]
 
 
+def test_ngram_join_of_unrelated_texts_with_common_passages_writes_few_pairs(spark, monkeypatch):
+    """Texts put together from a few long passages: sizes and positions let most pairs through."""
+    import random
+
+    random.seed(5)
+    passages = [" ".join(f"p{p}w{i}" for i in range(40)) for p in range(20)]
+    texts = [" ".join(random.sample(passages, 3)) for _ in range(300)]
+    texts += [f"{t} end" for t in texts[:20]]
+    made = []
+    kept = ngram_join.candidate_pairs
+
+    def counted(*args):
+        pairs = kept(*args)
+        made.append(pairs.count())
+        return pairs
+    monkeypatch.setattr(ngram_join, "candidate_pairs", counted)
+    monkeypatch.setattr(ngram_join, "PIVOTS", ())
+    monkeypatch.setattr(ngram_join, "LEFT", 1000)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 5, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join_documents(df).collect()}
+    assert got == brute_components(texts)
+    assert 20 <= sum(made) <= 2 * len(texts)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
