@@ -7,6 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from checks import views
 from newsloom import schemas
 from newsloom.operators.current import first_by, first_seq, latest_by, latest_seq
 from newsloom.operators.lookups import known_pairs, only
@@ -15,8 +16,10 @@ from newsloom.plans.ingest import ticker_news
 from newsloom.plans.insights import extract_insights
 from newsloom.plans.ledger import ask_once, known_answers
 from newsloom.plans.summarise import summary_questions
+from newsloom.session import OPEN_COST, for_small_files
 from newsloom.sources.pages import land_pages, newest_pages, read_landed
 from newsloom.sources.tables import create_tables, read_table, write_batch
+from newsloom.streaming import stages
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -252,3 +255,25 @@ def test_landed_pages_lie_in_few_folders_that_lookups_prune(spark, tmp_path):
         assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("newsloom.keyFolders")
+
+
+def test_page_files_lie_in_few_folders_and_are_read_many_to_a_task(spark, tmp_path):
+    """Names with any signs, rows without a text or a name, and repeats, each a file of its own."""
+    rows = [("<a>", "/raw/T=1/T+1%20_TM.html"), ("<a>", "/raw/T=1/T+1%20_TM.html"), ("<b>", "/raw/T=1/T+1%20_TM.html"),
+            (None, "/raw/notes \u00e9"), ("<c>", None)]
+    rows += [(f"<{i}>", f"/raw/notes {i}") for i in range(300)]
+    root = tmp_path.as_uri()
+    views.write_page_files(spark.createDataFrame(rows, "html string, page string"), f"{root}/files/0")
+    files = [f for f in (tmp_path / "files").rglob("*") if f.is_file()]
+    assert len(files) == len(rows)
+    assert len({f.parent for f in files}) <= 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(OPEN_COST)
+    stages.start_landing(
+        spark, f"{root}/files/*", f"{root}/pages", f"{root}/checkpoint", views.decoded_names, nested=True,
+    ).awaitTermination()
+    assert spark.conf.get(OPEN_COST) == before
+    got = [(r.html, r.path) for r in read_landed(spark, f"{root}/pages").collect()]
+    expected = [((html or "") + "\n", page or views.NO_PAGE) for html, page in rows]
+    assert sorted(got) == sorted(expected)
+    pages = for_small_files(spark).read.text(f"{root}/files/*", wholetext=True, recursiveFileLookup=True)
+    assert pages.rdd.getNumPartitions() < len(rows) / 8
