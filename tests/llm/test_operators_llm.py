@@ -317,6 +317,57 @@ def test_ngram_join_of_unrelated_texts_with_common_passages_writes_few_pairs(spa
     assert 20 <= sum(made) <= 2 * len(texts)
 
 
+def test_ngram_join_of_unrelated_texts_with_passages_few_share_writes_few_pairs(spark, monkeypatch):
+    """Lists too short for bitmaps by their length alone: what they let through decides."""
+    import random
+
+    random.seed(6)
+    passages = [" ".join(f"p{p}w{i}" for i in range(40)) for p in range(30)]
+    texts = [" ".join(random.sample(passages, 3)) for _ in range(300)]
+    texts += [f"{t} end" for t in texts[:20]]
+    made = []
+    kept = ngram_join.candidate_pairs
+
+    def counted(*args):
+        pairs = kept(*args)
+        made.append(pairs.count())
+        return pairs
+    monkeypatch.setattr(ngram_join, "candidate_pairs", counted)
+    monkeypatch.setattr(ngram_join, "PIVOTS", ())
+    monkeypatch.setattr(ngram_join, "LEFT", 1000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join_documents(df).collect()}
+    assert got == brute_components(texts)
+    assert 20 <= sum(made) <= 2 * len(texts)
+
+
+def test_ngram_join_compares_pairs_slice_by_slice(spark, monkeypatch):
+    """However many pairs there are, a query takes those of one slice; hot lists and others alike."""
+    monkeypatch.setattr(ngram_join, "AT_LEAST", 15)
+    pairs, seen = spark.range(40).selectExpr("id as u", "id + 100 as v"), []
+
+    def made(some):
+        seen.append(some.count())
+        return some.filter("u % 2 = 0")
+    even, n = ngram_join.in_slices(pairs, ngram_join.pair_number(), 40, 4, made)
+    assert sorted(r.u for r in even.collect()) == list(range(0, 40, 2)) and n == 20
+    assert len(seen) == 3 and sum(seen) == 40 and max(seen) < 30
+
+    sliced = []
+    kept = ngram_join.in_slices
+
+    def watched(rows, number, n, most, made):
+        sliced.append((n, "e" in rows.columns))
+        return kept(rows, number, n, most, made)
+    monkeypatch.setattr(ngram_join, "in_slices", watched)
+    monkeypatch.setattr(ngram_join, "AT_LEAST", 30)
+    texts = one_word_apart(50)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join_documents(df).collect()}
+    assert got == brute_components(texts)
+    assert {elements for n, elements in sliced if n > 30} == {False, True}
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
